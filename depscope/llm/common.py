@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_depscope_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(os.path.realpath(tempfile.mkdtemp(prefix="depscope-"))) / "depscope.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(to))
+    context._depscope_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the storage that driver and executors share.
 
