@@ -16,13 +16,12 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depscope.llm.common import ship
-from depscope.llm.pretokens import Memo
+from depscope.llm.pretokens import Memo, Splitter
 
 _MASK = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
@@ -103,10 +102,10 @@ class Vocabulary:
         self._open()
 
     def _open(self):
-        self.memo = Memo(self.encode_match, regex.compile(self.pattern))
+        self.split, self.memo = Splitter(self.pattern), Memo(self.encode_match)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -154,7 +153,8 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        return self.memo.ids(text)
+        self.memo.tidy()
+        return b"".join([b"".join(map(self.memo.__getitem__, part)) for part in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -1,71 +1,73 @@
-"""Splitting text into the pieces that byte-level BPE merges within, and a memo over them.
+"""Splitting text into the matches of a tokenizer's pattern, and a bounded memo over them.
 
-Each match of the tokenizer's pattern is encoded by itself, so equal matches have equal ids and a
-bounded memo saves most of the work. Texts are first cut before every single space that stands
-between two other characters that are not white space: no match can reach across such a place,
-and what a match looks ahead at is on its own side. Most cut-outs are known already and need
-no regular expression at all.
+Byte-level BPE encodes each match by itself, so equal matches have equal ids, and a memo saves most
+of the work. A text of characters below U+0180 only needs no Unicode tables: there the common
+pattern is rewritten to explicit classes for the quicker ``re`` module, with the same matches.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+import unicodedata
+
 import regex
 
-#: White space at a space that is not a safe place to cut, and long texts are cut at these too.
-_UNSAFE = regex.compile(r" (?=\s)|(?<=\s) |^ | $")
-#: Texts longer than this are pretokenised in parts of about this many characters.
-LONG = 1 << 22
+#: The pattern that has a rewritten form (fixed value, as tokenizers of this family state it).
+COMMON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts with more characters are split piece by piece; matches with more are not remembered.
+LONG_TEXT, LONG_MATCH = 1 << 22, 64
+
+
+def _class(kind: str, end: int) -> str:
+    return "".join(f"\\u{c:04x}" for c in range(end) if unicodedata.category(chr(c))[0] == kind)
+
+
+def _rewritten(end: int) -> re.Pattern:
+    letter, number, space = _class("L", end), _class("N", end), r"\t-\r\x20\x85\xa0"
+    endings = "'s|'t|'re|'ve|'m|'ll|'d"
+    return re.compile(rf"{endings}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
 
+class Splitter:
+    """All matches of a pattern in a text, in order, as lists of strings."""
 
-def cut_outs(text: str, pattern: regex.Pattern):
-    """Parts of ``text`` whose matches are the matches of ``text``, as lists of strings."""
-    if not text:
-        return
-    if _UNSAFE.search(text):
-        if len(text) <= LONG:
+    def __init__(self, pattern: str):
+        self.general = regex.compile(pattern)
+        self.ascii, self.latin = (_rewritten(0x80), _rewritten(0x180)) if pattern == COMMON else (self.general, self.general)
+        self.beyond = re.compile("[^\0-ſ]")
+
+    def __call__(self, text: str | None):
+        """Yield lists that together are the matches; a text of usual length gives one list."""
+        if not text:
+            return
+        pattern = self.ascii if text.isascii() else self.general if self.beyond.search(text) else self.latin
+        if len(text) <= LONG_TEXT:
             yield pattern.findall(text)
             return
-        part = []
-        for m in pattern.finditer(text):
-            part.append(m[0])
-            if len(part) >= LONG // 4:
-                yield part
-                part = []
-        yield part
-        return
-    first, *rest = text.split(" ")
-    yield [first, *[" " + x for x in rest]] if len(rest) < LONG else [first]
-    if len(rest) >= LONG:
-        for i in range(0, len(rest), LONG):
-            yield [" " + x for x in rest[i : i + LONG]]
+        found = pattern.finditer(text)
+        while part := [m[0] for m in itertools.islice(found, LONG_TEXT // 4)]:
+            yield part
 
 
 class Memo(dict):
-    """From a piece of text to its encoded ids (little-endian unsigned 32-bit integers), by ``encode``.
-
-    Holds ``limit`` pieces at most; then it starts anew, which costs time only.
-    """
+    """From a match to its ids, by ``encode``. Two generations of ``limit`` matches at most: when the
+    newer is full it becomes the older one, and what is used again moves on to the next."""
 
-    def __init__(self, encode, pattern: regex.Pattern, limit: int = 300_000):
-        self.encode, self.pattern, self.limit = encode, pattern, limit
-        self.matches: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        known = self.matches
-        out = b"".join([known[m] if m in known else self._new(m) for m in self.pattern.findall(piece)])
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+    def __init__(self, encode, limit: int = 400_000):
+        self.encode, self.limit = encode, limit
+        self.older: dict[str, bytes] = {}
 
-    def _new(self, match: str) -> bytes:
-        out = self.encode(match)
-        if len(match) <= 64:
-            self.matches[match] = out
+    def __missing__(self, match: str) -> bytes:
+        out = self.older.get(match)
+        if out is None:
+            out = self.encode(match)
+        if len(match) <= LONG_MATCH:
+            self[match] = out
         return out
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids of a whole text."""
-        if len(self) > self.limit or len(self.matches) > self.limit:
+    def tidy(self) -> None:
+        """To be called between texts."""
+        if len(self) > self.limit:
+            self.older = dict(self)
             self.clear()
-            self.matches.clear()
-        return b"".join([b"".join(map(self.__getitem__, part)) for part in cut_outs(text or "", self.pattern)])
