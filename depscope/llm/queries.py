@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depscope.llm import bpe, exact_dedup, mixing, sharding, simhash
-from depscope.llm.common import table
+from depscope.llm import bpe, embeddings, exact_dedup, mixing, sharding, simhash, token_store
+from depscope.llm.common import shared_dir, table
 
 
 def _tokenizer_file(name: str) -> str:
@@ -31,6 +31,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.9).withColumnRenamed("id", "vec_id")
+
+
 def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     thin = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -66,6 +70,13 @@ def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op10_plane_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = shared_dir(spark)
+    manifest = token_store.write_ids(docs, folder, _tokenizer_file("byte_bpe_50k.json"), _tokenizer_pattern())
+    return token_store.read_ids(spark, folder, manifest).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
