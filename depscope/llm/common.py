@@ -76,3 +76,24 @@ def word_count(text: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) with 53 random bits, fixed by the values alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def held_out(id_col: str) -> Column:
+    """Whether a document belongs to the fifth that nothing is learned from."""
+    rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
+    return F.coalesce(rest == 0, F.lit(False))
+
+
+def sampled_labels(labels: DataFrame, label_col: str, id_col: str, most: dict[int, int]) -> DataFrame:
+    """(__id, __label) of at most most[label] documents of each label, the first by a hash of their id.
+
+    Documents of the held-out fifth, without a label or with different labels are left out.
+    """
+    known = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"), F.max(label_col).alias("__other"))
+    known = known.filter("__label = __other").select("__id", "__label")
+    parts = [known.filter(F.col("__label") == k).orderBy(F.xxhash64(F.lit("sample"), "__id"), "__id").limit(n) for k, n in most.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depscope.llm import bpe, embeddings, exact_dedup, mixing, sharding, simhash, token_store
+from depscope.llm import bpe, embeddings, exact_dedup, html_text, mixing, quality, sharding, simhash, token_store, toxicity
 from depscope.llm.common import shared_dir, table
 
 
@@ -58,6 +58,12 @@ FROM n JOIN g ON n.body = g.body
 """
 
 
+def op5_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), threshold=0.3)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.bpe_round_trip(docs, _tokenizer_file("byte_bpe_50k.tiktoken"), _tokenizer_pattern())
@@ -70,6 +76,18 @@ def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op8_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs, model, threshold=0.5)
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op10_plane_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = shared_dir(spark)
