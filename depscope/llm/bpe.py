@@ -153,8 +153,7 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        self.memo.tidy()
-        return b"".join([b"".join(map(self.memo.__getitem__, part)) for part in self.split(text)])
+        return b"".join([self.memo.ids(part) for part in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -50,24 +50,27 @@ class Splitter:
             yield part
 
 
-class Memo(dict):
-    """From a match to its ids, by ``encode``. Two generations of ``limit`` matches at most: when the
-    newer is full it becomes the older one, and what is used again moves on to the next."""
+class Memo:
+    """Ids of matches, by ``encode``, remembered up to ``limit`` matches; then it starts anew.
 
-    def __init__(self, encode, limit: int = 400_000):
+    It is a plain dictionary of strings and bytes, which the garbage collector does not go through.
+    """
+
+    def __init__(self, encode, limit: int = 1_200_000):
         self.encode, self.limit = encode, limit
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, match: str) -> bytes:
-        out = self.older.get(match)
-        if out is None:
-            out = self.encode(match)
-        if len(match) <= LONG_MATCH:
-            self[match] = out
-        return out
-
-    def tidy(self) -> None:
-        """To be called between texts."""
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, matches: list[str]) -> bytes:
+        """The ids of all matches, one after another."""
+        if len(self.known) > self.limit:
+            self.known = {}
+        known = self.known
+        out = list(map(known.get, matches))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    match = matches[i]
+                    ids = out[i] = known.get(match) or self.encode(match)
+                    if len(match) <= LONG_MATCH:
+                        known[match] = ids
+        return b"".join(out)

@@ -9,6 +9,8 @@ those before it. Reading uses Spark's ``binaryFile`` source.
 
 from __future__ import annotations
 
+import os
+import struct
 import uuid
 
 import numpy as np
@@ -26,45 +28,25 @@ from depscope.llm.pretokens import Memo, Splitter
 END_ID = 0
 
 
-class LibraryEncoder(Memo):
-    """Ids by the ``tokenizers`` library, which encodes every different pre-token once, in batches."""
+class LibraryEncoder:
+    """Ids by the ``tokenizers`` library, which is asked once for each different match of the pattern
+    that the memo does not hold."""
 
     def __init__(self, tokenizer_json: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__(lambda match: self._encode([match])[0])
-        self.split = Splitter(pattern)
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def _encode(self, matches: list[str]) -> list[bytes]:
-        """The library's ids of each pre-token.
-
-        A pre-token is white space, or has none but for one space in front. The latter share one
-        call: the line feeds between them are pre-tokens of their own there, so the ids between
-        two ids of a line feed are those of one pre-token.
-        """
-        blank = [m for m in matches if m.isspace()]
-        out = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in blank}
-        dense = [m for m in matches if m not in out] if blank else matches
-        if dense:
-            ids = np.array(self.tokenizer.encode("\n".join(dense), add_special_tokens=False).ids, "<u4")
-            feeds = (np.flatnonzero(ids == self.feed) * 4).tolist()
-            if len(feeds) != len(dense) - 1:
-                raise ValueError("the tokenizer merges across line feeds")
-            data = ids.tobytes()
-            out.update((m, data[i:j]) for m, i, j in zip(dense, [0, *[x + 4 for x in feeds]], [*feeds, len(data)], strict=True))
-        return [out[m] for m in matches]
-
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        self.tidy()
-        split = [list(self.split(t)) for t in texts]
-        fresh = [m for m in set().union(*(part for parts in split for part in parts)) if m not in self and m not in self.older]
-        if fresh:
-            self.update(zip(fresh, self._encode(fresh), strict=True))
-        return [b"".join([b"".join(map(self.__getitem__, part)) for part in parts]) for parts in split]
+        self.split, self.memo = Splitter(pattern), Memo(self._encode)
+
+    def _encode(self, match: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([match], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
+        return b"".join([self.memo.ids(part) for part in self.split(text)])
 
 
 _encoders: dict = {}
@@ -79,11 +61,11 @@ def _encoder(shared) -> LibraryEncoder:
     return _encoders[key]
 
 
-def _write(batches, shared, folder: str, options: dict, rows: int = 64):
+def _write(batches, shared, folder: str, options: dict, rows: int = 256):
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     encoder, stream, writer = _encoder(shared), None, None
     part = TaskContext.get().partitionId()
-    end = np.array([END_ID], "<u4")
+    end = struct.pack("<I", END_ID)
     name = f"part-{part:06d}.ids"
     hidden = f"{base}/.{name}.{uuid.uuid4().hex}"
     for whole in batches:
@@ -92,8 +74,8 @@ def _write(batches, shared, folder: str, options: dict, rows: int = 64):
             if writer is None:
                 stream = fs.open_output_stream(hidden)
                 writer = PlaneWriter(stream, **options)
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_texts(batch.column(1).to_pylist()), strict=True):
-                writer.add(doc, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                writer.add(doc, np.frombuffer(encoder.encode(text) + end, "<u4"))
     if writer is not None:
         writer.close()
         stream.close()
