@@ -97,3 +97,21 @@ def sampled_labels(labels: DataFrame, label_col: str, id_col: str, most: dict[in
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str, found: DataFrame, stays: Column) -> DataFrame:
+    """The rows of ``docs`` whose id stays, each id once.
+
+    ``found`` has a row (id) for every row of docs, with the columns that ``stays`` needs. Rows of an id that
+    stays are reduced to one, the first by text, only where ids repeat at all.
+    """
+    kept = found.withColumn("__stays", stays).groupBy("id").agg(F.max("__stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    kept = written(kept.filter("not stays or rows > 1").select(F.col("id").alias("__id"), "stays"))
+    match = F.col(id_col).eqNullSafe(F.col("__id"))
+    out = docs.join(kept, match, "left_anti").select(*docs.columns)
+    repeated = kept.filter("stays")
+    if repeated.limit(1).count():
+        first = F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNull(), F.col(text_col), F.xxhash64(*docs.columns)))
+        some = docs.join(repeated, match, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(first.alias("__row"))
+        out = out.unionByName(some.select("__row.*"))
+    return out

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.common import normalised, written
+from depscope.llm.common import normalised, rows_of, written
 
 
 def sha256_digest(text: Column) -> Column:
@@ -106,12 +106,10 @@ def _by_digest(keyed: DataFrame, thin: DataFrame, id_col: str, total: int, hot_s
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``. The texts are not shuffled for the
-    final join: only ids are, and the surviving ids select the rows.
+    """The rows of ``docs`` that stay, with the columns of ``docs``; an id that stays does so in one row.
 
-    Cases as in ``exact_dedup``.
+    Other cases as in ``exact_dedup``.
     """
     found = exact_dedup(docs.select(id_col, text_col), id_col, text_col, **options)
-    gone = written(found.filter(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct())
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    return out.select(*docs.columns)
+    found = written(found.select(F.col(id_col).alias("id"), "kept"))
+    return rows_of(docs, id_col, text_col, found, F.col("kept"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.common import ship, written
+from depscope.llm.common import rows_of, ship, written
 from depscope.llm.components import connected_components, join_hot
 from depscope.llm.forest import Forest
 
@@ -236,11 +236,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with the columns of ``docs``.
+    """The rows of ``docs`` whose id is the smallest of their component, one each, with the columns of ``docs``.
 
     Rows with a null id stay only if nothing they link with has an id. Other cases as in
     ``simhash_components``.
     """
-    found = simhash_components(docs, id_col, text_col, **options)
-    gone = written(found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct())
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    found = written(simhash_components(docs, id_col, text_col, **options).select("id", "component_id"))
+    return rows_of(docs, id_col, text_col, found, F.col("id").eqNullSafe(F.col("component_id")))

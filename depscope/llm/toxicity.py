@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
 A sentence is toxic with probability p = sigmoid(w . x + b), x its hashed features (words, their
-first four and five bytes, their last four); a document is toxic if one of its sentences is:
+first four, five and six bytes, their last four); a document is toxic if one of its sentences is:
 P = 1 - prod(1 - p), the noisy-or. w and b minimise the log loss of P against the documents'
 labels, by AdaGrad over a bounded sample of labelled documents; which sentences are to
 blame is learned, not given. The same p then locate the offending sentences.
@@ -13,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depscope.llm.common import held_out, sampled_labels, ship
 from depscope.llm.textvec import Words, groups
 
-BITS = 18
+BITS, VIEWS = 18, 5
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?\n"]] = True
 
@@ -28,9 +29,8 @@ class Sentences:
     def __init__(self, texts: list[str | None]):
         w = Words(texts, spaced=False)
         s, e = w.start, w.end
-        views = [(s, e), (s, np.minimum(s + 4, e)), (s, np.minimum(s + 5, e)), (np.maximum(e - 4, s), e)]
-        salt = [np.uint64(x) for x in (0x1F, 0x2E3779B97F4A7C15, 0x3D6E8FEB86659FD9, 0x4C15A3779B97F4A7)]
-        ids = [((w.hashes(a, b) ^ k) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - BITS)) for (a, b), k in zip(views, salt, strict=True)]
+        views = [(s, e), *((s, np.minimum(s + k, e)) for k in (4, 5, 6)), (np.maximum(e - 4, s), e)]
+        ids = [(w.hashes(a, b) ^ np.uint64(k * 0x1E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - BITS) for k, (a, b) in enumerate(views)]
         self.features = np.stack(ids, 1).astype(np.int32)  # [word, view]
         ends = np.cumsum(_SENTENCE_END[w.raw])
         number = ends[s] if len(s) else np.empty(0, np.int64)
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__label").cast("int"), F.col(text_col).cast("string"))
     got = rows.mapInArrow(_features, "label int, features binary, sentence binary").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["features"])))  # whatever order the tasks ended in
-    x = [(np.frombuffer(r["features"], np.int32).reshape(-1, 4), np.frombuffer(r["sentence"], "<i4")) for r in got]
+    x = [(np.frombuffer(r["features"], np.int32).reshape(-1, VIEWS), np.frombuffer(r["sentence"], "<i4")) for r in got]
     return fit(x, np.array([r["label"] for r in got]))
 
 
@@ -167,6 +167,18 @@ def _scores(batches, broadcast, blame: float):
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(found, kind)], [*batch.schema.names[:-1], "score", "offending"])
 
 
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+
+def _scored(carried: DataFrame, model: Model) -> DataFrame:
+    """(carried, text) -> (carried, score, offending)."""
+    spark = carried.sparkSession
+    ship(spark)
+    broadcast = spark.sparkContext.broadcast(model)
+    schema = T.StructType([carried.schema[0], T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(_SPAN))])
+    return carried.mapInArrow(lambda b: _scores(b, broadcast, 0.5), schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
     """(id, held_out, score, predicted, offending) for every row.
 
@@ -174,10 +186,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     probability. Null text counts as empty; an empty text has the score of one sentence without
     words. Rows that repeat an id are scored each for itself.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    broadcast = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(lambda b: _scores(b, broadcast, 0.5), f"id {kind}, score double, offending array<struct<start:int,end:int,score:double>>")
+    out = _scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model)
     return out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, with the columns of ``docs``. Cases as in ``score``."""
+    out = _scored(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text")), model)
+    return out.filter(F.col("score") < threshold).select("row.*")
