@@ -60,7 +60,9 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread,
     add = [c for c in lookup.columns if c not in (key, weight)]
     is_hot = (F.col(weight) * hot_share >= F.lit(total)) & (F.col(weight) > 1)
     hot = lookup.filter(is_hot).select(F.col(key).alias("__k"), F.lit(1).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in add])
-    rest = lookup.filter(~is_hot).select(F.col(key).alias("__k"), F.lit(0).alias("__salt"), *[F.col(c).alias(f"__rest_{c}") for c in add])
+    # Not a plain literal: as one, the optimiser would make it a filter and deal rows by the key alone.
+    zero = F.when(F.col(weight) > 0, 0).otherwise(-1)
+    rest = lookup.filter(~is_hot).select(F.col(key).alias("__k"), zero.alias("__salt"), *[F.col(c).alias(f"__rest_{c}") for c in add])
     out = rows.join(F.broadcast(hot), rows[key] == hot["__k"], "left").drop("__k")
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.shiftrightunsigned(F.xxhash64(spread), 34).cast("int") + 1)
     out = out.withColumn("__salt", salt)
