@@ -3,8 +3,9 @@
 Each page is cut into blocks of text, each with its path of elements. Elements that can hold
 the main text, its containers, are scored by the text of their paragraphs outside links and
 boilerplate. A container's path is generalised: tags with their classes, digits taken out, from
-the root down. In Spark, the pages of a host vote: each page's containers share one vote by
-their scores, votes are summed per host and path, and the path with the most wins. Then every
+the root down. In Spark, the pages of a host vote: each page gives its best container a vote and
+every other up to a quarter of one, by its score; votes are summed per host and path, and the
+path with the most wins. Then every
 page is read again, and the text of the elements on its host's path is its main text; pages
 without such an element use their own best container. Votes are combined before they are
 shuffled, and the winners are a small table (host, path): a host with a third of all pages is no
@@ -215,11 +216,11 @@ def _votes(batches):
         hosts, paths, shares = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             scores = container_scores(blocks(page or ""))
-            total = sum(scores.values())
+            best = max(scores, key=lambda p: (scores[p], p), default=None)
             for path, score in scores.items():
                 hosts.append(host)
                 paths.append(path)
-                shares.append(score / total)
+                shares.append(1.0 if path == best else 0.25 * score / scores[best])
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], ["host", "path", "share"])
 
 

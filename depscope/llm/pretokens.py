@@ -56,7 +56,7 @@ class Memo:
     It is a plain dictionary of strings and bytes, which the garbage collector does not go through.
     """
 
-    def __init__(self, encode, limit: int = 1_200_000):
+    def __init__(self, encode, limit: int = 700_000):
         self.encode, self.limit = encode, limit
         self.known: dict[str, bytes] = {}
 

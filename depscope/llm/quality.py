@@ -195,7 +195,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__label").cast("int"), F.col(text_col).cast("string"))
     got = rows.mapInArrow(lambda b: _label_features(b, shared), "label int, x binary").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["x"])))  # whatever order the tasks ended in
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in got], np.float64).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r["x"], "<f4") for r in got], np.float64).reshape(len(got), 3 * DIM + 1)
     net = fit(x, np.array([r["label"] for r in got]))
     both = spark.sparkContext.broadcast((vectors, net))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))

@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
 A sentence is toxic with probability p = sigmoid(w . x + b), x its hashed features (words, their
-first four, five and six bytes, their last four); a document is toxic if one of its sentences is:
-P = 1 - prod(1 - p), the noisy-or. w and b minimise the log loss of P against the documents'
+first four, five and six bytes, their last four) as far as they are telling; a sentence without
+any is no instance. A document is toxic if one of its instances is: P = 1 - prod(1 - p), the
+noisy-or. So a long document is not suspect for its length alone. w and b minimise the log loss of P against the documents'
 labels, by AdaGrad over a bounded sample of labelled documents; which sentences are to
 blame is learned, not given. The same p then locate the offending sentences.
 """
@@ -50,15 +51,18 @@ class Model:
         self.weights, self.bias, self.constant = weights, bias, constant
 
     def sentences(self, x: Sentences) -> np.ndarray:
-        """Log odds of every sentence."""
-        return np.bincount(x.sentence, self.weights[x.features].sum(1), len(x.doc)) + self.bias
+        """Log odds of every sentence, minus infinity of those without telling features."""
+        w = self.weights[x.features]
+        z = np.bincount(x.sentence, w.sum(1), len(x.doc)) + self.bias
+        z[np.bincount(x.sentence, (w != 0).any(1), len(x.doc)) == 0] = -np.inf
+        return z
 
     def documents(self, z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """Noisy-or of the sentences; documents without a sentence are as one without features."""
+        """Noisy-or of the instances; a document without any has the odds of the bias."""
         if self.constant is not None:
             return np.full(n, self.constant)
         log_none = -np.bincount(doc, np.logaddexp(0, z), n)
-        log_none[np.bincount(doc, minlength=n) == 0] = -np.logaddexp(0, self.bias)
+        log_none[np.bincount(doc[np.isfinite(z)], minlength=n) == 0] = -np.logaddexp(0, self.bias)
         return -np.expm1(log_none)
 
 
@@ -84,7 +88,9 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, e
     bags = []
     for features, sentence in documents:
         word, view = np.nonzero(use[features])
-        bags.append((features[word, view], sentence[word], int(sentence[-1]) + 1 if len(sentence) else 1))
+        found, number = np.unique(sentence[word], return_inverse=True)
+        # Without an instance, one without features stands for the document.
+        bags.append((features[word, view], number, max(1, len(found))))
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 0.1)
     bias, bias_g2 = -4.0, 0.01
     for _ in range(epochs):
@@ -183,8 +189,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, held_out, score, predicted, offending) for every row.
 
     offending: the sentences that are toxic by themselves, as start and end in code points and
-    probability. Null text counts as empty; an empty text has the score of one sentence without
-    words. Rows that repeat an id are scored each for itself.
+    probability. Null text counts as empty; a text without telling features has
+    the lowest score, that of the bias. Rows that repeat an id are scored each for itself.
     """
     out = _scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model)
     return out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")

@@ -1,0 +1,74 @@
+"""The registered corpus queries and the pipeline on the smallest tables."""
+
+from collections import Counter
+
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from depscope.llm import simhash
+from depscope.llm.common import written
+from depscope.llm.queries import oracle_sql, queries
+
+COLUMNS = {
+    "op1": ["doc_id", "fingerprint", "component_id"],
+    "op2": ["vec_id", "n_links", "component_id", "kept"],
+    "op3": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op4": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op5": ["doc_id", "held_out", "score", "predicted"],
+    "op6": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op7": ["doc_id", "size", "source_size", "target", "taken"],
+    "op8": ["page_id", "url", "text", "n_chars"],
+    "op9": ["doc_id", "held_out", "score", "predicted"],
+    "op10": ["doc_id", "start", "n_tokens", "ids_crc32"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query(spark, sf_dir, name):
+    df = queries()[name](spark, sf_dir)
+    table = {"op2": "embeddings", "op8": "pages"}.get(name.split("_")[0], "documents")
+    assert set(COLUMNS[name.split("_")[0]]) <= set(df.columns)
+    assert df.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+def test_registered():
+    assert {n.split("_")[0] for n in queries()} == set(COLUMNS) and "pipeline" in entry.queries()
+    assert set(queries()) <= set(entry.queries()) and set(oracle_sql()) <= set(entry.oracle_sql())
+
+
+def test_exact_dedup_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    want = con.execute(oracle_sql()["op4_exact_dedup"]).fetchall()
+    assert Counter(map(tuple, queries()["op4_exact_dedup"](spark, sf_dir).collect())) == Counter(want)
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, seen = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+        rows = docs.collect()
+        assert {r["doc_id"] for r in rows} <= set(seen), name
+        if name in ("exact_dedup", "simhash_dedup"):
+            assert len({r["doc_id"] for r in rows}) == len(rows)
+        if name == "simhash_dedup":
+            fp = [simhash.fingerprint(r["text"]) for r in rows]
+            assert all((a ^ b).bit_count() > 3 for i, a in enumerate(fp) for b in fp[:i])
+        if name == "mixing":
+            assert max(Counter(r["doc_id"] for r in rows).values()) <= 2
+        if name != "bpe":
+            assert docs.columns == columns
+            seen = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) > 0 and docs.columns[0] == "doc_id"
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "mixing", "bpe"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_empty_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+        assert docs.count() == 0
