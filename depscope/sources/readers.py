@@ -31,7 +31,7 @@ def read_csv_typed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     marks = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
     text = read_csv_text(spark, path, sep)
     clean = text.select(*[F.when(~F.col(f"`{c}`").isin(marks), F.col(f"`{c}`")).alias(c) for c in text.columns])
-    kinds = clean.agg(*[F.array_distinct(F.collect_set(value_kind(F.col(f"`{c}`")))).alias(c) for c in clean.columns]).first() if clean.columns else []
+    kinds = clean.agg(*[F.collect_set(F.when(F.col(f"`{c}`").isNotNull(), value_kind(F.col(f"`{c}`")))).alias(c) for c in clean.columns]).first() if clean.columns else []
     cast = {frozenset(["int"]): "long", frozenset(["float"]): "double", frozenset(["int", "float"]): "double", frozenset(["bool"]): "boolean"}
     return clean.select(*[F.trim(F.col(f"`{c}`")).cast(cast[frozenset(k)]).alias(c) if frozenset(k) in cast else F.col(f"`{c}`") for c, k in zip(clean.columns, kinds, strict=True)])
 

@@ -84,7 +84,7 @@ def test_results_are_flattened(spark, tmp_path):
     (tmp_path / "runs" / "bad").mkdir()
     (tmp_path / "runs" / "bad" / "result.json").write_text("{")
     flat = sinks.flat_results(readers.read_results(spark, str(tmp_path)).filter("run_id is not null"))
-    assert flat.columns == [*sinks.CORE_COLUMNS, "arg_a", "arg_b", "g1", "status" if "status" not in sinks.CORE_COLUMNS else "metric_status", "tag_t", "tag_u"] or set(flat.columns) >= {"arg_a", "arg_b", "g1", "metric_status" if "metric_status" in flat.columns else "status", "tag_t", "tag_u"}
+    assert flat.columns == [*sinks.CORE_COLUMNS, "arg_a", "arg_b", "g1", "metric_status", "tag_t", "tag_u"]
     rows = {r["run_id"]: r for r in flat.collect()}
     assert rows["r0"]["tag_t"] == "1" and rows["r0"]["tag_u"] is None and rows["r0"]["arg_a"] == "[1]" and rows["r1"]["arg_b"] == "2" and rows["r0"]["command"] == "x y"
 
