@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,16 +21,27 @@ def score(df: DataFrame, fds: FDSpec | Sequence[FDSpec], measures: Iterable[str]
     Measures that are not asked for are not computed; without those that need it there is no
     expected mutual information. An empty table gives no rows.
     """
-    fds = [fds] if isinstance(fds, FDSpec) else list(fds)
+    return score_tables([(df, [fds] if isinstance(fds, FDSpec) else list(fds))], measures, nulls)
+
+
+def score_tables(tables: Sequence[tuple[DataFrame, Sequence[FDSpec]]], measures: Iterable[str] = ALL_MEASURES, nulls: str = "group") -> DataFrame:
+    """``score`` for dependencies of several tables, each table scanned once; fd_ids have to differ.
+
+    Tables meet as totals and as histograms of counts, so that all expectations are one plan.
+    """
     measures = list(measures)
     unknown = [m for m in measures if m not in ALL_MEASURES]
     if unknown:
         raise ValueError(f"no measure {', '.join(unknown)}; there are {', '.join(ALL_MEASURES)}")
-    xy = counts.xy_counts(counts.project(df, fds, nulls))
-    x, y = counts.x_counts(xy, nulls), counts.y_counts(xy, nulls)
-    total = counts.totals(x, y, nulls)
+    totals, histograms = [], []
+    for df, fds in tables:
+        xy = counts.xy_counts(counts.project(df, fds, nulls))
+        x, y = counts.x_counts(xy, nulls), counts.y_counts(xy, nulls)
+        totals.append(counts.totals(x, y, nulls))
+        histograms.append(counts.count_histograms(x, y, nulls))
+    total = reduce(DataFrame.unionByName, totals)
     if any(m in EXPECTATION_MEASURES for m in measures):
-        expected = information.expected_mi(counts.count_histograms(x, y, nulls), total)
+        expected = information.expected_mi(reduce(DataFrame.unionByName, histograms), total)
         total = total.join(expected, "fd_id")
     build = COUNT_MEASURES | EXPECTATION_MEASURES
     return total.select("fd_id", "n", "dom_x", "dom_y", "dom_xy", *[build[m]().alias(m) for m in measures])

@@ -60,6 +60,10 @@ def each_table(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame, list
     return _union([plan(table(spark, sf_dir, name), fds) for name, fds in by_table().items()])
 
 
+def scored(spark: SparkSession, sf_dir: str, measures: Sequence[str]) -> DataFrame:
+    return plans.score_tables([(table(spark, sf_dir, name), fds) for name, fds in by_table().items()], measures)
+
+
 def _xy(df: DataFrame, fds: list[FDSpec]) -> DataFrame:
     # As texts in any case, so that all tables have one schema.
     out = counts.xy_counts(counts.project(df, fds))
@@ -149,7 +153,7 @@ def query(sql: str | None = None):
 
 def _measure_query(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(each_table(spark, sf_dir, lambda df, fds: plans.score(df, fds, [name]).select("fd_id", name)))
+        return _rounded(scored(spark, sf_dir, [name]).select("fd_id", name))
 
     run.__name__ = name
     sql = f"{CTE} SELECT fd_id, {_r(MEASURE_SQL[name])} AS {name} FROM t" if name in MEASURE_SQL else f"{CTE}{EXPECTED} SELECT t.fd_id, {_r(EXPECTED_SQL[name])} AS {name} FROM t JOIN em ON t.fd_id = em.fd_id"
@@ -192,7 +196,7 @@ _ALL = ", ".join(f"{_r(v)} AS {k}" for k, v in {**MEASURE_SQL, **EXPECTED_SQL}.i
 
 @query(f"{CTE}{EXPECTED} SELECT t.fd_id, CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS dom_x, n = d AS is_key, {_ALL} FROM t JOIN em ON t.fd_id = em.fd_id")
 def fd_batch_all_measures(spark, sf_dir):
-    return _rounded(each_table(spark, sf_dir, lambda df, fds: plans.score(df, fds).select("fd_id", "n", "dom_x", "is_key", *MEASURE_SQL, *EXPECTED_SQL)))
+    return _rounded(scored(spark, sf_dir, plans.ALL_MEASURES).select("fd_id", "n", "dom_x", "is_key", *MEASURE_SQL, *EXPECTED_SQL))
 
 
 PART_COLUMNS = ("p_brand", "p_type", "p_size")
@@ -408,7 +412,7 @@ def metric_log_parse(spark, sf_dir):
 
 @query(f"{CTE}, u AS (SELECT fd_id, 'Metric::N=' || CAST(CAST(n AS BIGINT) AS VARCHAR) AS value FROM t UNION ALL SELECT fd_id, 'Metric::DomX=' || CAST(CAST(d AS BIGINT) AS VARCHAR) FROM t) SELECT fd_id, value FROM u")
 def metric_lines_out(spark, sf_dir):
-    return sinks.metric_rows(each_table(spark, sf_dir, lambda df, fds: plans.score(df, fds, ["g1"]).select("fd_id", "n", "dom_x")))
+    return sinks.metric_rows(scored(spark, sf_dir, ["g1"]).select("fd_id", "n", "dom_x"))
 
 
 @query("SELECT CAST(p_size AS VARCHAR) || unit AS said, seconds FROM (SELECT DISTINCT p_size, CASE p_size % 4 WHEN 0 THEN 'ms' WHEN 1 THEN 's' WHEN 2 THEN 'm' ELSE 'H' END AS unit, CAST(p_size * CASE p_size % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1.0 WHEN 2 THEN 60.0 ELSE 3600.0 END AS DOUBLE) AS seconds FROM part)")
