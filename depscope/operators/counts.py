@@ -6,8 +6,9 @@ needed: whatever the measures want from "c next to its a" is a sum over c times
 of a, so the X roll-up carries sum(c^2) and sum(c log c). Each step combines before it shuffles,
 so a hot X costs one row a task.
 
-One dependency keeps its column types (X is a struct); many dependencies over one table are scored
-in one scan (X is an array of texts, exploded per dependency).
+One dependency keeps its column types (X is a struct). Many dependencies over one table are counted in
+one scan by grouping sets, one for each set of columns, so that a -> b and b -> a share theirs;
+only the groups are then turned into texts (X is an array of them) and handed to their dependencies.
 """
 
 from __future__ import annotations
@@ -63,6 +64,33 @@ def xy_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("fd_id", "x", "y").agg(F.count(F.lit(1)).alias("c"))
 
 
+def xy_counts_of(df: DataFrame, fds: Sequence[FDSpec], nulls: str = "group") -> DataFrame:
+    """(fd_id, x, y, c) of all dependencies of a table."""
+    if len(fds) == 1:
+        return xy_counts(project(df, fds, nulls))
+    if nulls not in NULL_MODES:
+        raise ValueError(f"nulls must be one of {NULL_MODES}")
+    for fd in fds:
+        fd.check(df)
+    columns = [c for c in df.columns if any(c in (*fd.lhs, fd.rhs) for fd in fds)]
+    typed = df.select(*[_value(df, c, nulls).alias(f"k{i}") for i, c in enumerate(columns)])
+    at = {c: i for i, c in enumerate(columns)}
+    sets: dict[frozenset[int], list[FDSpec]] = {}
+    for fd in fds:
+        sets.setdefault(frozenset(at[c] for c in (*fd.lhs, fd.rhs)), []).append(fd)
+    keys = [F.col(f"k{i}") for i in range(len(columns))]
+    groups = typed.groupingSets([[keys[i] for i in sorted(s)] for s in sets], *keys).agg(F.count(F.lit(1)).alias("c"), F.grouping_id().alias("gid"))
+    # The bits of grouping_id are set for columns that a set leaves out, the first column highest.
+    gid = lambda s: sum(1 << (len(columns) - 1 - i) for i in range(len(columns)) if i not in s)
+    text = lambda c: keys[at[c]].cast("string")
+    mine = None
+    for s, own in sets.items():
+        each = F.array(*[F.struct(F.lit(fd.fd_id).alias("fd_id"), F.array(*[text(c) for c in fd.lhs]).alias("x"), text(fd.rhs).alias("y")) for fd in own])
+        here = F.col("gid") == F.lit(gid(s))
+        mine = F.when(here, each) if mine is None else mine.when(here, each)
+    return groups.select(F.explode(mine).alias("fd"), "c").select("fd.fd_id", "fd.x", "fd.y", "c")
+
+
 def x_counts(xy: DataFrame, nulls: str = "group") -> DataFrame:
     """One row per (fd_id, x).
 

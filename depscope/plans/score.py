@@ -35,7 +35,7 @@ def score_tables(tables: Sequence[tuple[DataFrame, Sequence[FDSpec]]], measures:
         raise ValueError(f"no measure {', '.join(unknown)}; there are {', '.join(ALL_MEASURES)}")
     totals, histograms = [], []
     for df, fds in tables:
-        xy = counts.xy_counts(counts.project(df, fds, nulls))
+        xy = counts.xy_counts_of(df, fds, nulls)
         x, y = counts.x_counts(xy, nulls), counts.y_counts(xy, nulls)
         totals.append(counts.totals(x, y, nulls))
         histograms.append(counts.count_histograms(x, y, nulls))
