@@ -84,6 +84,17 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(rest == 0, F.lit(False))
 
 
+def hash_sample(df: DataFrame, k: int, n: int, *key: str) -> DataFrame:
+    """k of the n rows of ``df``, those first by a hash of ``key``.
+
+    Rows beyond a threshold with room to spare are filtered where they are, so that not every task
+    sends k rows to be sorted.
+    """
+    place = unit_hash(F.lit("sample"), *[F.col(c) for c in key])
+    share = 1.0 if n <= 2 * k else 1.5 * k / n + 200 / n
+    return df.filter(place < share).orderBy(place, *key).limit(k)
+
+
 def sampled_labels(labels: DataFrame, label_col: str, id_col: str, most: dict[int, int]) -> DataFrame:
     """(__id, __label) of at most most[label] documents of each label, the first by a hash of their id.
 
@@ -92,7 +103,8 @@ def sampled_labels(labels: DataFrame, label_col: str, id_col: str, most: dict[in
     known = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"), F.max(label_col).alias("__other"))
     known = known.filter("__label = __other").select("__id", "__label")
-    parts = [known.filter(F.col("__label") == k).orderBy(F.xxhash64(F.lit("sample"), "__id"), "__id").limit(n) for k, n in most.items()]
+    there = {r["__label"]: r["n"] for r in known.filter(F.col("__label").isin(*most)).groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [hash_sample(known.filter(F.col("__label") == k), n, there.get(k, 0), "__id") for k, n in most.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

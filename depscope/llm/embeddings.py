@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.common import ship, written
+from depscope.llm.common import hash_sample, ship, written
 from depscope.llm.components import connected_components, join_hot
 from depscope.llm.forest import Forest
 
@@ -174,7 +174,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         alone = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
         return alone.withColumn("kept", F.lit(True))
     n, total = sum(k["n"] for k in kinds), sum(k["rows"] for k in kinds)
-    drawn = [r["vector"] for k in kinds for r in distinct.filter(F.size("vector") == k["length"]).select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(max(1, sample * k["n"] // n)).collect()]
+    drawn = [r["vector"] for k in kinds for r in hash_sample(distinct.filter(F.size("vector") == k["length"]).select("vector", "rep"), max(1, sample * k["n"] // n), k["n"], "rep").collect()]
     cells = _same_length_pivots(drawn, max(least_cells, min(most_cells, math.ceil(n / chunk_rows))))
     reach = math.acos(threshold)
     first = 0

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.common import rows_of, ship, written
+from depscope.llm.common import hash_sample, rows_of, ship, written
 from depscope.llm.components import connected_components, join_hot
 from depscope.llm.forest import Forest
 
@@ -203,7 +203,7 @@ def fingerprint_links(fps: DataFrame, *, radius: int = 3, leaf_rows: int = 1000,
     """
     ship(fps.sparkSession)
     n = fps.count()
-    drawn = fps.orderBy(F.xxhash64(F.lit(seed), "fp")).limit(sample).collect()
+    drawn = hash_sample(fps, sample, n, "fp").collect()
     codes = np.array([r["fp"] for r in drawn], np.int64).view(np.uint64)
     rng, trees, bases, base = np.random.default_rng(seed), [], [], 0
     for half in halves(codes):
