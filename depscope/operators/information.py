@@ -34,6 +34,9 @@ def expected_mi(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -
     pairs = pairs.select("fd_id", "n", "a", "b", (F.col("wa") * F.col("wb")).cast("double").alias("w"), lo.alias("lo"), hi.alias("hi"), mean.alias("mean"), sd.alias("sd")).filter("hi >= lo")
     few = F.col("hi") - F.col("lo") < most_terms
     pieces = pairs.filter(few).withColumn("from", F.explode(F.sequence("lo", "hi", F.lit(PIECE).cast("long"))))
+    # Few bytes, much work: dealt evenly, to a number of tasks that is not reduced for lack of bytes.
+    tasks = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(tasks, "fd_id", "a", "b", "from")
     lg = lambda x: lgamma(x.cast("double") + 1)
     fixed = lg(F.col("a")) + lg(F.col("b")) + lg(F.col("n") - F.col("a")) + lg(F.col("n") - F.col("b")) - lg(F.col("n"))
     terms = pieces.withColumn("fixed", fixed).withColumn("k", F.explode(F.sequence("from", F.least(F.col("hi"), F.col("from") + PIECE - 1))))

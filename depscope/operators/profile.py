@@ -46,7 +46,9 @@ def rank_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     sizes = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("frequency")).groupBy("frequency").agg(F.count(F.lit(1)).alias("groups"))
     before = F.coalesce(F.sum("groups").over(Window.orderBy(F.desc("frequency")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sizes.withColumn("before", before).select(F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("groups"))).alias("rank"), "frequency")
+    ranks = sizes.select("frequency", (before + 1).alias("first"), (before + F.col("groups")).alias("last"))
+    pieces = ranks.withColumn("from", F.explode(F.sequence("first", "last", F.lit(1 << 16).cast("long"))))
+    return pieces.select(F.explode(F.sequence("from", F.least(F.col("last"), F.col("from") + (1 << 16) - 1))).alias("rank"), "frequency")
 
 
 def count_histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
