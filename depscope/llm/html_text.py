@@ -31,7 +31,7 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_NESTING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tfoot", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-BOILERPLATE_TAGS = set("nav header footer aside form button dialog menu head figure".split()) - {"figure"}
+BOILERPLATE_TAGS = set("nav header footer aside form button dialog menu head".split())
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Words of class and id values that mark what is not the article.
 BOILERPLATE_WORDS = set(
@@ -46,6 +46,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: A class such as has-sidebar says something about an element's surroundings.
+_ABOUT_OTHERS = ("has-", "with-", "no-", "without-")
 _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -77,7 +79,7 @@ def _element(tag: str, attributes: str, parent: Element, number: int) -> Element
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                words = {w for part in value.split() for w in _WORD.findall(_CAMEL.sub(" ", part).lower())}
+                words = {w for part in value.split() if not part.lower().startswith(_ABOUT_OTHERS) for w in _WORD.findall(_CAMEL.sub(" ", part).lower())}
                 clutter |= tag not in ("html", "body", "article", "main") and not words.isdisjoint(BOILERPLATE_WORDS)
                 if name == "class" and value:
                     step += "." + ".".join(sorted(_DIGITS.sub("#", v) for v in value.split()))

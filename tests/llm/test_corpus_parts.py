@@ -278,6 +278,7 @@ def test_page_blocks():
     assert best.endswith("main>div.entry.post-#") and html_text.main_text(found, best) == want
     assert html_text.main_text(found, ">html>body>nowhere") == want
     assert html_text.main_text(html_text.blocks(""), None) == "" == html_text.main_text(html_text.blocks("<nav>x</nav>"), None)
+    assert html_text.main_text(html_text.blocks("<div class='has-sidebar no-ads'><p>kept, all</p><p class=commentList>gone</p></div>"), None) == "kept, all"
     assert html_text.main_text(html_text.blocks("a < b &lt; c"), None) == "a < b < c"
     assert html_text.main_text(html_text.blocks("<p>" * 4000 + "x, y" + "<div>" * 3000 + "z, long enough"), None) != ""
 
