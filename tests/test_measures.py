@@ -132,13 +132,14 @@ def test_empty_table(spark):
     assert score(frame(spark, F1).limit(0), FD).count() == 0
 
 
-def test_batch_equals_single(spark):
+@pytest.mark.parametrize("nulls", ["group", "drop"])
+def test_batch_equals_single(spark, nulls):
     rows = [(random.Random(i).randrange(4), random.Random(i + 99).randrange(3), i % 5, None if i % 11 == 0 else "t") for i in range(80)]
     df = spark.createDataFrame(rows, "p int, q int, r int, s string")
     fds = [*unary_candidates(df), FDSpec(("p", "q"), "r")]
-    batch = {r["fd_id"]: r for r in score(df, fds).collect()}
-    for fd in (fds[0], fds[5], fds[-1]):
-        one = score(df, fd).first()
+    batch = {r["fd_id"]: r for r in score(df, fds, nulls=nulls).collect()}
+    for fd in (fds[0], fds[2], fds[9], fds[-1]):
+        one = score(df, fd, nulls=nulls).first()
         for m in ("n", "dom_x", "dom_y", "dom_xy", *ALL_MEASURES):
             assert batch[fd.fd_id][m] == pytest.approx(one[m], abs=1e-9) if one[m] is not None else batch[fd.fd_id][m] is None
     ranks = [r["rank"] for r in ranked_report(df, ["p", "q", "r"]).orderBy("rank").collect()]
