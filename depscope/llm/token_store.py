@@ -38,7 +38,7 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split, self.memo = Splitter(pattern), Memo(self._encode)
+        self.split, self.memo = Splitter(pattern), Memo(self._encode, 1_000_000)
 
     def _encode(self, match: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([match], add_special_tokens=False)[0].ids
