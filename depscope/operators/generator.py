@@ -6,6 +6,7 @@ any number of tasks, and the same settings give the same table.
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from dataclasses import dataclass
 
@@ -168,6 +169,23 @@ def generate_syn(spark: SparkSession, s: GeneratorSettings, seed: int = 1) -> Da
     return add_noise(clean, s, seed) if s.noise > 0 else clean
 
 
+def scenario_tags(s: GeneratorSettings) -> dict:
+    """The settings as tags of an experiment."""
+    return {"source": "synthetic", **dataclasses.asdict(s)}
+
+
+def dataset_name(name: str, s: GeneratorSettings) -> str:
+    """The name under which a scenario's table is kept."""
+    return f"{name}_{s.n_type}_{s.noise}"
+
+
+def write_scenario(spark: SparkSession, name: str, s: GeneratorSettings, folder: str, seed: int = 1) -> str:
+    """Generate a scenario's table as Parquet unless it is there; returns its path."""
+    path = f"{folder}/{dataset_name(name, s)}.parquet"
+    generate_syn(spark, s, seed).drop("row_id").write.mode("ignore").parquet(path)
+    return path
+
+
 def _zipf(name: str, tuples: int, tuple_sel: float, lhs_number: int, rhs_sel: float) -> tuple[str, GeneratorSettings]:
     return name, GeneratorSettings(tuples, tuple_sel, lhs_number, rhs_sel)
 

@@ -28,6 +28,25 @@ def distinct_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     )
 
 
+def column_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, rows, nulls, distinct_values, least, greatest, most_frequent, frequency): values as texts.
+
+    Of equally frequent values the smallest text counts. All columns share one scan.
+    """
+    values = _unpivoted(df, columns or df.columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+    known = F.col("value").isNotNull()
+    top = F.min(F.when(known, F.struct((-F.col("c")).alias("minus"), "value")))
+    out = values.groupBy("column").agg(
+        F.sum("c").alias("rows"),
+        F.coalesce(F.sum(F.when(~known, F.col("c"))), F.lit(0)).alias("nulls"),
+        F.count("value").alias("distinct_values"),
+        F.min("value").alias("least"),
+        F.max("value").alias("greatest"),
+        top.alias("top"),
+    )
+    return out.select("column", "rows", "nulls", "distinct_values", "least", "greatest", F.col("top.value").alias("most_frequent"), (-F.col("top.minus")).alias("frequency"))
+
+
 def approx_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(approx_distinct) of a combination of columns by HyperLogLog++."""
     return df.agg(F.approx_count_distinct(F.struct(*columns), RSD_14).alias("approx_distinct"))

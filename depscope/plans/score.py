@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from depscope.functions.measures import COUNT_MEASURES, EXPECTATION_MEASURES
 from depscope.operators import counts, information
+from depscope.operators.reliability import ReliabilityConfig, reliability
 from depscope.spec import FDSpec
 
 ALL_MEASURES = (*COUNT_MEASURES, *EXPECTATION_MEASURES)
@@ -47,6 +48,14 @@ def score_tables(tables: Sequence[tuple[DataFrame, Sequence[FDSpec]]], measures:
     return total.select("fd_id", "n", "dom_x", "dom_y", "dom_xy", *[build[m]().alias(m) for m in measures])
 
 
+def full_record(df: DataFrame, fd: FDSpec, config: ReliabilityConfig = ReliabilityConfig(), *, nulls: str = "group", given: DataFrame | None = None, id_col: str | None = None) -> DataFrame:
+    """Everything about one dependency in one row: its columns, all measures, the reliability record."""
+    measures = score(df, fd, nulls=nulls)
+    judged = reliability(df, fd, config, given=given, id_col=id_col)
+    names = [F.array(*map(F.lit, fd.lhs)).alias("lhs"), F.lit(fd.rhs).alias("rhs"), F.lit(len(fd.lhs)).alias("lhs_size")]
+    return measures.join(judged, "fd_id").select("fd_id", *names, *[c for c in measures.columns if c != "fd_id"], *[c for c in judged.columns if c != "fd_id"])
+
+
 def unary_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> list[FDSpec]:
     """All dependencies between two different columns of ``df``."""
     columns = list(columns or df.columns)

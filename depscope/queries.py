@@ -309,6 +309,12 @@ def ar_verdict(spark, sf_dir):
     return out.select("fd_id", F.round("ar_score", 6).alias("ar_score"), "ar_violation_count", F.round("ar_violation_rate", 6).alias("ar_violation_rate"), "ar_is_reliable", "indep_used", "indep_rejected")
 
 
+@query(f"SELECT CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS dom_x, {_r(MEASURE_SQL['mu'])} AS mu, {_r(MEASURE_SQL['g3_prime'])} AS g3_prime, {_r(MEASURE_SQL['h_y'])} AS h_y, v.ar_score, v.ar_violation_count, v.indep_rejected FROM (SELECT * FROM ({CTE} SELECT * FROM t) q WHERE fd_id = 'orders: o_custkey -> o_orderpriority') m CROSS JOIN ({ORACLES['ar_verdict']}) v")
+def fd_full_record(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", *_CHI_COLUMNS)
+    return _rounded(plans.full_record(orders, STUDIED[2][2]).select("n", "dom_x", "mu", "g3_prime", "h_y", "ar_score", "ar_violation_count", "indep_rejected"))
+
+
 @query()
 def ar_verdicts_all(spark, sf_dir):
     """Full records, with p-values, of all studied dependencies."""
@@ -332,6 +338,12 @@ def distinct_profile(spark, sf_dir):
     return profile.distinct_profile(table(spark, sf_dir, "events"), _EVENT_COLUMNS)
 
 
+@query(" UNION ALL ".join(f"""SELECT * FROM (WITH v AS (SELECT CAST({c} AS VARCHAR) AS v, CAST(count(*) AS BIGINT) AS c FROM events GROUP BY 1), o AS (SELECT v, c, row_number() OVER (ORDER BY c DESC, v) AS i FROM v WHERE v IS NOT NULL)
+SELECT '{c}' AS "column", CAST(sum(v.c) AS BIGINT) AS rows, CAST(coalesce(sum(CASE WHEN v.v IS NULL THEN v.c END), 0) AS BIGINT) AS nulls, CAST(count(v.v) AS BIGINT) AS distinct_values, min(v.v) AS least, max(v.v) AS greatest, max(CASE WHEN i = 1 THEN o.v END) AS most_frequent, max(CASE WHEN i = 1 THEN o.c END) AS frequency FROM v LEFT JOIN o ON v.v = o.v)""" for c in _EVENT_COLUMNS))
+def column_summary(spark, sf_dir):
+    return profile.column_summary(table(spark, sf_dir, "events"), _EVENT_COLUMNS)
+
+
 @query()
 def approx_distinct(spark, sf_dir):
     return profile.approx_distinct(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])

@@ -144,3 +144,15 @@ def test_candidate_filter(spark):
     df = spark.createDataFrame(rows, "left_col string, right_col string, sample_type string, violation_rows array<int>")
     kept = candidates.filter_candidates(df, 100, ["x", "y"]).collect()
     assert [(r["left_col"], r["right_col"], r["sample_type"]) for r in kept] == [("a", "b", "N"), ("a", "b", "P"), ("x", "y", "P"), ("a", "x", "N")]
+
+
+def test_full_record_and_scenarios(spark, tmp_path):
+    from depscope.plans.score import full_record
+
+    got = full_record(pairs(spark, ["a1", "a1", "a2", "b2", "b2", "c3"]), FD, id_col="i").first()
+    assert got["lhs"] == ["x"] and got["lhs_size"] == 1 and got["rhs"] == "y" and got["mu_plus"] == pytest.approx(0.393939394) and got["ar_score"] == pytest.approx(0.52)
+    s = generator.GeneratorSettings(300, noise=0.0)
+    path = generator.write_scenario(spark, "tiny", s, str(tmp_path))
+    assert path.endswith("tiny_copy_0.0.parquet") and spark.read.parquet(path).columns == ["lhs_0", "rhs"] and generator.scenario_tags(s)["tuples"] == 300
+    summary = {r["column"]: r for r in profile.column_summary(spark.createDataFrame([("a", None), ("b", None), ("a", None)], "p string, q string")).collect()}
+    assert (summary["p"]["most_frequent"], summary["p"]["frequency"], summary["p"]["greatest"]) == ("a", 2, "b") and summary["q"]["nulls"] == 3 and summary["q"]["least"] is None
