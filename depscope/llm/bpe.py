@@ -102,7 +102,7 @@ class Vocabulary:
         self._open()
 
     def _open(self):
-        self.split, self.memo = Splitter(self.pattern), Memo(self.encode_match)
+        self.split, self.memo = Splitter(self.pattern), Memo(self.encode_match, 250_000)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo")}

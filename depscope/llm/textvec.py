@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUP = 1 << 20
+GROUP = 1 << 18
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
