@@ -9,7 +9,9 @@ those before it. Reading uses Spark's ``binaryFile`` source.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 
@@ -30,14 +32,14 @@ END_ID = 0
 
 class LibraryEncoder:
     """Ids by the ``tokenizers`` library, which is asked once for each different match of the pattern
-    that the memo does not hold."""
+    that the memo does not hold. Strings of added tokens in a text are ordinary text."""
 
     def __init__(self, tokenizer_json: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True
         self.split, self.memo = Splitter(pattern), Memo(self._encode, 1_000_000)
 
     def _encode(self, match: str) -> bytes:
@@ -49,15 +51,41 @@ class LibraryEncoder:
         return b"".join([self.memo.ids(part) for part in self.split(text)])
 
 
+class AddedTokenEncoder(LibraryEncoder):
+    """The ids that the library gives for whole texts: strings of added tokens get their own ids.
+
+    The library cuts a text at its added tokens first, the leftmost and then the longest, and encodes
+    what is between them piece by piece. Added tokens that ask for more than their string (white space
+    around them, whole words, normalised text) are left to the library, text by text.
+    """
+
+    def __init__(self, tokenizer_json: str, pattern: str):
+        super().__init__(tokenizer_json, pattern)
+        self.tokenizer.encode_special_tokens = False
+        known = json.loads(tokenizer_json)
+        added = [t for t in known.get("added_tokens") or [] if t["content"]]
+        self.ids = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")") if added else None
+        self.whole = any(t["lstrip"] or t["rstrip"] or t["single_word"] or (t["normalized"] and known.get("normalizer")) for t in added)
+
+    def encode(self, text: str | None) -> bytes:
+        if not text or self.cut is None:
+            return super().encode(text)
+        if self.whole:
+            return self._encode(text)
+        parts = self.cut.split(text)  # every second one is an added token
+        return b"".join([self.ids[p] if i % 2 else super(AddedTokenEncoder, self).encode(p) for i, p in enumerate(parts)])
+
+
 _encoders: dict = {}
 
 
-def _encoder(shared) -> LibraryEncoder:
+def _encoder(shared) -> AddedTokenEncoder:
     """One per Python worker and tokenizer, so that its memo lasts from task to task."""
     key = hash(shared.value)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = LibraryEncoder(*shared.value)
+        _encoders[key] = AddedTokenEncoder(*shared.value)
     return _encoders[key]
 
 
@@ -86,7 +114,7 @@ def _write(batches, shared, folder: str, options: dict, rows: int = 256):
 def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Write all documents to ``folder`` and return the manifest: part, name, n_docs, n_ids, start.
 
-    ``options`` go to ``PlaneWriter``. Null text counts as empty: such a document has the end id
+    A string of an added token in a text is that token, as in the library. ``options`` go to ``PlaneWriter``. Null text counts as empty: such a document has the end id
     only. Rows that repeat an id stand next to each other, ordered by text. Rows with a null id come
     first, under the smallest 64-bit integer. An empty table writes no file.
     """

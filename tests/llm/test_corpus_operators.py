@@ -285,6 +285,23 @@ def test_token_store(spark, odd, options):
     assert token_store.write_ids(odd.limit(0), empty, path, P.PATTERN).count() == 0
 
 
+def test_token_store_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path, end = P.path("byte_bpe_50k.json"), "<|endoftext|>"
+    lib = Tokenizer.from_file(path)
+    texts = [f"hello {end} world", end, f"{end}{end}", f" {end}  a\n", f"x{end}y <|endoftext|", f"<|{end}|>", "plain", f"é漢 {end}'s 12"]
+    folder = shared_dir(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = token_store.write_ids(df, folder, path, P.PATTERN)
+    at = 0
+    for r in sorted(token_store.read_ids(spark, folder, manifest).collect(), key=lambda r: r["id"]):
+        ids = np.array([*lib.encode(texts[r["id"]], add_special_tokens=False).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert 50256 in lib.encode(texts[0], add_special_tokens=False).ids
+
+
 # --- op7 --------------------------------------------------------------------------------------
 
 
