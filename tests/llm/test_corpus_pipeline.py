@@ -1,13 +1,16 @@
 """The registered corpus queries and the pipeline on the smallest tables."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from depscope.llm import simhash
+from depscope.llm import near_copies, simhash
 from depscope.llm.common import written
+from depscope.llm.forest import Forest
 from depscope.llm.queries import oracle_sql, queries
 
 COLUMNS = {
@@ -67,6 +70,33 @@ def test_pipeline(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "mixing", "bpe"] and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(11)
+    words, texts = [f"w{i}" for i in range(400)], {}
+    line = " ".join(rng.choices(words, k=12))
+    for i in range(60):
+        t = rng.choices(words, k=rng.choice([4, 12, 60, 400]))
+        for j in range(4):
+            texts[i * 5 + j] = " ".join(t) + (f" {line}" if i % 2 else "")
+            for _ in range(1 + len(t) // 90):
+                t[rng.randrange(len(t))] = f"z{i}{j}"
+    texts[1000], texts[1001], texts[None] = "", None, texts[100]
+    sets = {i: set(near_copies.shingle_set(t).tolist()) for i, t in texts.items()}
+    order = sorted(texts, key=lambda i: near_copies.NO_ID if i is None else i)
+    alike = [(x, y) for x, i in enumerate(order) for y, k in enumerate(order[:x]) if sets[i] and len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
+    f = Forest(len(order))
+    f.add(*np.array(alike).T)
+    want = {order[r] for r in f.root.tolist()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    kept = [r["doc_id"] for r in near_copies.drop_near_copies(df).collect()]
+    assert set(kept) == want and len(kept) == len(want) and 20 < len(alike)
+    # Most of these links are too far apart for fingerprints, and the stage finds them.
+    fp = {i: simhash.fingerprint(texts[i]) for i in order}
+    assert any((fp[order[x]] ^ fp[order[y]]).bit_count() > 3 for x, y in alike)
+    left = [sets[r["doc_id"]] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(left) for b in left[:i] if a | b)
+
+
 def test_stages_on_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
