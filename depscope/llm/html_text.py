@@ -43,7 +43,12 @@ BOILERPLATE_WORDS = set(
 )
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|$)""", re.S)
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Any attribute with its value, so that no word inside a value is taken for an attribute.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+#: Words of what readers write; a part so named stays boilerplate however long it is.
+COMMENT_WORDS = set("comment comments commentlist respond reply replies disqus discussion feedback".split())
+#: Share of a page's text from which an element is no boilerplate, whatever its class or id.
+MOST = 0.8
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: A class such as has-sidebar says something about an element's surroundings.
@@ -53,12 +58,16 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    """An open element: tag, generalised step of its path, parent, and whether it is boilerplate."""
+    """An open element: tag, generalised step of its path, parent, and whether it is boilerplate.
 
-    __slots__ = ("clutter", "inside_link", "number", "parent", "path", "step", "tag")
+    ``clutter`` is what tags, roles and hiding say; ``words`` are the words of its class and id that would
+    make it boilerplate, which ``_settle`` decides when the whole page is known.
+    """
+
+    __slots__ = ("clutter", "inside_link", "number", "parent", "path", "step", "tag", "words")
 
-    def __init__(self, tag: str, step: str, parent, clutter: bool, number: int):
-        self.tag, self.step, self.parent, self.number = tag, step, parent, number
+    def __init__(self, tag: str, step: str, parent, clutter: bool, number: int, words: frozenset = frozenset()):
+        self.tag, self.step, self.parent, self.number, self.words = tag, step, parent, number, words
         self.clutter = clutter or (parent is not None and parent.clutter)
         self.inside_link = tag == "a" or (parent is not None and parent.inside_link)
         self.path = step if parent is None else parent.path if tag in INLINE else f"{parent.path}>{step}"
@@ -74,20 +83,61 @@ class Block:
 
 
 def _element(tag: str, attributes: str, parent: Element, number: int) -> Element:
-    step, clutter = tag, tag in BOILERPLATE_TAGS
+    step, clutter, marks = tag, tag in BOILERPLATE_TAGS, frozenset()
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 words = {w for part in value.split() if not part.lower().startswith(_ABOUT_OTHERS) for w in _WORD.findall(_CAMEL.sub(" ", part).lower())}
-                clutter |= tag not in ("html", "body", "article", "main") and not words.isdisjoint(BOILERPLATE_WORDS)
+                if tag not in ("html", "body", "article", "main"):
+                    marks |= words & BOILERPLATE_WORDS
                 if name == "class" and value:
                     step += "." + ".".join(sorted(_DIGITS.sub("#", v) for v in value.split()))
             elif name == "role":
                 clutter |= value.lower() in BOILERPLATE_ROLES
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
                 clutter = True
-    return Element(tag, step, parent, clutter, number)
+    return Element(tag, step, parent, clutter, number, marks)
+
+
+def _settle(found: list[Block], elements: list[Element], mains: list[Element]) -> None:
+    """Decide which elements are boilerplate by the words of their class and id.
+
+    Those are not that hold main, every article of the page or most of its text, since they are the page's
+    layout. If nothing would be left of the text, the words do not count at all.
+    """
+    marked = {e.number for e in elements if e.words}
+    if not marked:
+        return
+    held, articles, total = dict.fromkeys(marked, 0), dict.fromkeys(marked, 0), 0
+    layout, n_articles = set(), sum(e.tag == "article" for e in mains)
+    for e in mains:
+        up = e.parent
+        while up is not None:
+            if up.number in marked:
+                articles[up.number] += e.tag == "article"
+                if e.tag == "main":
+                    layout.add(up.number)
+            up = up.parent
+    for b in found:
+        if b.element.clutter:
+            continue
+        weight = len(b.text) - min(b.linked, len(b.text))
+        total += weight
+        up = b.element
+        while up is not None:
+            if up.number in marked:
+                held[up.number] += weight
+            up = up.parent
+    for e in elements:
+        if e.words and not e.words & COMMENT_WORDS and ((n_articles and articles[e.number] == n_articles) or held[e.number] > MOST * total):
+            layout.add(e.number)
+    bad = {e.number: e.number in marked - layout for e in elements}
+    for e in elements:  # parents come before their children
+        bad[e.number] |= e.parent is not None and bad.get(e.parent.number, False)
+    if any(not b.element.clutter and not bad.get(b.element.number, False) for b in found):
+        for e in elements:
+            e.clutter |= bad[e.number]
 
 
 def blocks(page: str) -> list[Block]:
@@ -98,6 +148,8 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = 0
     holder = root
+    elements: list[Element] = []
+    mains: list[Element] = []
 
     def flush():
         nonlocal linked
@@ -167,7 +219,11 @@ def blocks(page: str) -> list[Block]:
                     at = up.parent
         number += 1
         at = _element(tag, m[3], at, number)
+        elements.append(at)
+        if tag in ("article", "main") and not at.clutter:
+            mains.append(at)
     flush()
+    _settle(found=out, elements=elements, mains=mains)
     return out
 
 

@@ -283,6 +283,18 @@ def test_page_blocks():
     assert html_text.main_text(html_text.blocks("<p>" * 4000 + "x, y" + "<div>" * 3000 + "z, long enough"), None) != ""
 
 
+@pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "layout-sidebar-right", "search-results"])
+def test_wrappers_and_attribute_values_are_no_boilerplate(wrapper):
+    text = lambda page: html_text.main_text(html_text.blocks(page), None)
+    assert text(f"<p>Site, since 1999</p><div class='{wrapper}'><article><h1>T</h1><p>long, text</p></article><div class=sidebar><p>x, y</p></div></div>") == "T long, text"
+    assert text(f"<div id={wrapper}><p>{'long, text ' * 20}</p></div><p>tag</p>").startswith("long, text")
+    assert text(f"<div class='{wrapper}'><p>all there is</p></div>") == "all there is"
+    for value in ("The hidden valley", "class=ad id=menu", "style='display:none'"):
+        quote = '"' if "'" in value else "'"
+        assert text(f"<article data-title={quote}{value}{quote}><p>kept, all</p></article>") == "kept, all"
+    assert text("<article><p>kept, all</p><p title='x' hidden>gone</p><div class=comments><article><p>a, longer, comment, than, all</p></article></div></article>") == "kept, all"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<b>", "<", ">", "&", "text, ", '"', "<!--", "-->", "<script>", "</script>", "<a href=\"x", "<br/>", "<li>", "é"]), max_size=40))
 def test_any_markup_is_read(parts):
