@@ -5,9 +5,10 @@ the main text, its containers, are scored by the text of their paragraphs outsid
 boilerplate. A container's path is generalised: tags with their classes, digits taken out, from
 the root down. In Spark, the pages of a host vote: each page gives its best container a vote and
 every other up to a quarter of one, by its score; votes are summed per host and path, and the
-path with the most wins. Then every
-page is read again, and the text of the elements on its host's path is its main text; pages
-without such an element use their own best container. Votes are combined before they are
+path with the most wins; paths that are best on half of the pages that have them are the host's
+other templates. Then every page is read again: of its host's paths, the one with the best score on the page
+leads to its main text, that of the article or main around it; pages without such an element use their own
+best container. Votes are combined before they are
 shuffled, and the winners are a small table (host, path): a host with a third of all pages is no
 hot key.
 """
@@ -18,7 +19,7 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depscope.llm.common import ship, written
@@ -49,6 +50,8 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 COMMENT_WORDS = set("comment comments commentlist respond reply replies disqus discussion feedback".split())
 #: Share of a page's text from which an element is no boilerplate, whatever its class or id.
 MOST = 0.8
+#: Paths that a host has besides its winner.
+TEMPLATES = 64
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: A class such as has-sidebar says something about an element's surroundings.
@@ -254,19 +257,80 @@ def container_scores(found: list[Block]) -> dict[str, float]:
     return scores
 
 
-def main_text(found: list[Block], path: str | None) -> str:
-    """Text of the elements on ``path``, without boilerplate in them; of the best container if there are none."""
+def _lifted(path: str, found: list[Block]) -> set[int]:
+    """Numbers of the elements whose text is the article, for the container path that won.
+
+    From the elements on the path up to their nearest article, else their nearest main. Without either, up to
+    the smallest element below body with an h1 that is not yet inside, if three quarters of its text are.
+    """
+    inside = f"{path}>"
+    on = [b for b in found if not b.element.clutter and (b.element.path == path or b.element.path.startswith(inside))]
+    out: set[int] = set()
+    for b in on:
+        own = b.element
+        while own.parent is not None and (own.tag in INLINE or own.path != path):
+            own = own.parent
+        up, hit = own, None
+        while up is not None:
+            if up.tag == "article":
+                hit = up
+                break
+            if up.tag == "main" and hit is None:
+                hit = up
+            up = up.parent
+        out.add((hit or own).number)
+    held = sum(len(b.text) for b in on)
+    if on and not any(_has(b.element, ("article", "main", "h1")) for b in on):
+        for title in found:
+            if title.element.clutter or not _has(title.element, ("h1",)):
+                continue
+            above, up = set(), title.element
+            while up is not None:
+                above.add(up.number)
+                up = up.parent
+            up = on[0].element
+            while up is not None and up.number not in above:
+                up = up.parent
+            if up is not None and up.parent is not None and up.tag not in ("html", "body"):
+                text = sum(len(b.text) for b in found if not b.element.clutter and _within(b.element, {up.number}))
+                if held >= 0.75 * text:
+                    out.add(up.number)
+                    break
+    return out
+
+
+def _has(element: Element, tags: tuple[str, ...]) -> bool:
+    while element is not None:
+        if element.tag in tags:
+            return True
+        element = element.parent
+    return False
+
+
+def _within(element: Element, numbers: set[int]) -> bool:
+    while element is not None:
+        if element.number in numbers:
+            return True
+        element = element.parent
+    return False
 
-    def on(path: str) -> list[str]:
-        inside = f"{path}>"
-        return [b.text for b in found if not b.element.clutter and (b.element.path == path or b.element.path.startswith(inside))]
 
-    texts = on(path) if path is not None else []
-    if not texts:
+def main_text(found: list[Block], path: str | list[str] | None) -> str:
+    """Text of the article around the elements on ``path``, without boilerplate in it.
+
+    Of several paths, the one with the best score on the page counts; of none that the page has, its best container.
+    """
+    paths = [path] if isinstance(path, str) else path or []
+    there = [b.element.path for b in found if not b.element.clutter]
+    paths = [p for p in paths if any(x == p or x.startswith(f"{p}>") for x in there)]
+    if len(paths) != 1:
         scores = container_scores(found)
-        if scores:
-            texts = on(max(scores, key=lambda p: (scores[p], p)))
-    return " ".join(texts)
+        paths = paths or list(scores)
+        paths = [max(paths, key=lambda p: (scores.get(p, 0.0), p))] if paths else []
+    if not paths:
+        return ""
+    numbers = _lifted(paths[0], found)
+    return " ".join(b.text for b in found if not b.element.clutter and _within(b.element, numbers))
 
 
 def _votes(batches):
@@ -296,14 +360,25 @@ def host_of(url):
 
 
 def consensus_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages): the winning container path of every host. Pages without text do not vote."""
+    """(host, path, paths): the winning container path of every host, and with it the paths of its templates.
+
+    A template's path is the best of two pages or more, and of half of the pages that have it; a host has up to
+    ``TEMPLATES`` of them. Pages without text do not vote.
+    """
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string"))
     votes = rows.mapInArrow(_votes, "host string, path string, share double")
     # Rounded, so that sums do not depend on their order.
-    sums = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"))
-    best = sums.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best"))
-    return best.select("host", F.col("best.path").alias("path"))
+    won = F.sum((F.col("share") == 1.0).cast("long"))
+    sums = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"), won.alias("won"), F.count(F.lit(1)).alias("pages"))
+    best = F.max(F.struct("votes", "path")).alias("best")
+    # Spark limits each task's rows of a host before the shuffle, as it combines the maximum.
+    steady = (F.col("won") >= 2) & (F.col("won") * 2 >= F.col("pages"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("won"), "path"))
+    others = sums.filter(steady).withColumn("place", place).filter(F.col("place") <= TEMPLATES)
+    others = others.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("others"))
+    out = sums.groupBy("host").agg(best).join(others, "host", "left")
+    return out.select("host", F.col("best.path").alias("path"), F.array_union(F.array("best.path"), F.coalesce("others", F.array().cast("array<string>"))).alias("paths"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, broadcast_hosts: int = 100_000) -> DataFrame:
@@ -318,15 +393,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host, those of the largest hosts evenly.
     """
     spark = pages.sparkSession
-    paths = written(consensus_paths(pages, url_col, html_col))
+    paths = written(consensus_paths(pages, url_col, html_col).select("host", "paths"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
     if paths.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
-        rows = rows.join(F.broadcast(paths), "host", "left").select("id", "url", "html", "path")
+        rows = rows.join(F.broadcast(paths), "host", "left").select("id", "url", "html", "paths")
     else:
         sizes = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
         lookup = sizes.join(paths, "host", "left")
         total = sizes.agg(F.sum("pages")).first()[0]
-        rows = join_hot(rows, lookup, "host", "pages", F.struct("id", "url"), total).select("id", "url", "html", "path")
+        rows = join_hot(rows, lookup, "host", "pages", F.struct("id", "url"), total).select("id", "url", "html", "paths")
     ship(spark)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_texts, f"id {kind}, url string, text string")

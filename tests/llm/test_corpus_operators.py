@@ -368,3 +368,14 @@ def test_html(spark):
         assert got[20] == ["T20 body, of 20"] and got[21] == [""] and got[22] == ["", ""] and got[None] == ["just, this"]
     assert html_text.extract(df.limit(0)).count() == 0
     assert html_text.consensus_paths(df).filter("host = 'ex.org'").first()["path"] == ">html>body>div.box-#"
+
+
+def test_html_of_a_host_with_two_templates(spark):
+    long = "long, text " * 20
+    most = lambda i: f"<body><article><h1>A{i}</h1><div class=entry><p>{long}</p></div></article></body>"
+    few = lambda i: f"<body><article class=x><div class=entry><p>note</p></div></article><article><div class=entry><p>see</p></div></article><div class=report><p>R{i} {long}</p></div></body>"
+    rows = [(i, "http://ex.org/", most(i) if i < 9 else few(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for hosts in (100_000, 0):
+        got = {r["id"]: r["text"] for r in html_text.extract(df, broadcast_hosts=hosts).collect()}
+        assert all(got[i] == (f"A{i} {long}" if i < 9 else f"R{i} {long}").strip() for i in range(12)), got

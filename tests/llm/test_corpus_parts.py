@@ -283,6 +283,16 @@ def test_page_blocks():
     assert html_text.main_text(html_text.blocks("<p>" * 4000 + "x, y" + "<div>" * 3000 + "z, long enough"), None) != ""
 
 
+def test_whole_article_around_its_longest_part():
+    body = "long, text " * 30
+    for page in (
+        f"<body><article><h1>T</h1><p class=lead>Lead</p><div class=entry><p>{body}</p></div></article><div class=low><p>no</p></div>",
+        f"<body><main><h1>T</h1><section class=a><p>Lead</p></section><section class=b><p>{body}</p></section></main><div class=low><p>no</p></div>",
+        f"<body><div class=post><h1>T</h1><p class=lead>Lead</p><div class=entry><p>{body}</p></div></div><div class=low><p>no</p></div>",
+    ):
+        assert html_text.main_text(html_text.blocks(page), None) == f"T Lead {body.strip()}"
+
+
 @pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "layout-sidebar-right", "search-results"])
 def test_wrappers_and_attribute_values_are_no_boilerplate(wrapper):
     text = lambda page: html_text.main_text(html_text.blocks(page), None)
