@@ -38,11 +38,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the storage that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests)
-    a temporary folder stands in for it.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and driver and executors are
+    one process (local tests), a temporary folder stands in for it; elsewhere it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="depscope-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

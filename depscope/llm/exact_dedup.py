@@ -68,7 +68,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     body = normalised(F.col(text_col))
     keyed = own.withColumn("__body", body).withColumn("__digest", digest(F.col("__body")))
-    keyed = keyed.withColumn("__sha", F.sha2(F.col("__body").cast("binary"), 256))
+    sha = F.lower(F.hex("__digest")) if digest is sha256_digest else F.sha2(F.col("__body").cast("binary"), 256)
+    keyed = keyed.withColumn("__sha", sha)
     if not mixed:
         out = _by_digest(keyed.drop("__body"), thin, id_col, total or 0, hot_share)
     else:

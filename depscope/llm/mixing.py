@@ -175,32 +175,39 @@ def _copies(ident: Column, size: Column) -> Column:
     return (F.col("__whole") + F.when(more, 1).otherwise(0)).cast("int")
 
 
-def apply_mix(docs: DataFrame, params: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, cap: float = 2.0) -> DataFrame:
-    """``docs`` with size, source_size, target, rate and copies added (columns of these names are replaced)."""
-    own = docs.drop("size", "source_size", "target", "rate", "copies")
+def _decided(docs: DataFrame, params: DataFrame, id_col: str, text_col: str, source_col: str, cap: float) -> DataFrame:
+    """(__row, __size, source_size, target, __rate, copies): rows travel as one struct, so that no column can clash."""
     small = _bounded(params)
     p = params.select(F.col("source").alias("__source"), "n", "source_size", "target", "lambda", "cut", "last", F.col("fill").alias("__fill"))
-    # Input columns travel as one struct, so that none can clash with a parameter.
-    rows = own.select(F.struct(*own.columns).alias("__row"), word_count(F.col(text_col)).alias("__size"), F.col(id_col).alias("__id"), F.col(source_col).alias("__src"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), word_count(F.col(text_col)).alias("__size"), F.col(id_col).alias("__id"), F.col(source_col).alias("__src"))
     rows = rows.join(small(p), F.col("__src").eqNullSafe(F.col("__source")))
     rows = _parts(rows, F.col("__size"), F.col("__id"), cap)
     copies = _copies(F.col("__id"), F.col("__size"))
     filled = F.col("__id").eqNullSafe(F.col("__fill")) & F.col("__fill").isNotNull() & F.col("__key").isNotNull() & (copies == F.col("__whole"))
-    copies = copies + F.when(filled, 1).otherwise(0)
-    return rows.select("__row.*", F.col("__size").alias("size"), "source_size", "target", F.col("__rate").alias("rate"), copies.alias("copies"))
+    return rows.withColumn("copies", copies + F.when(filled, 1).otherwise(0))
+
+
+def apply_mix(docs: DataFrame, params: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, cap: float = 2.0) -> DataFrame:
+    """``docs`` with size, source_size, target, rate and copies added (columns of these names are replaced)."""
+    own = [f"__row.{c}" for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
+    rows = _decided(docs, params, id_col, text_col, source_col, cap)
+    return rows.select(*own, F.col("__size").alias("size"), "source_size", "target", F.col("__rate").alias("rate"), "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs`` with size, source_size, target, rate and copies added.
 
-    Size is the number of words. A null text or one without words has size 0 and costs nothing; a
-    null source is a source, the last one. Rows that repeat an id have one rate and one decision
-    each. An empty table gives no rows. ``cap`` bounds copies and rates and must be whole.
+    Size is the number of words of the whole text, however long. A null text or one without words has size 0 and costs
+    nothing; a null source is a source, the last one. Rows that repeat an id with one size share their decision, also
+    the one that completes a target. Ties in the sampling key are ordered by id and size. An empty table gives no rows.
+    ``cap`` bounds copies and rates and must be whole.
     """
     params = fit_mix(docs, id_col, text_col, source_col, weights=weights, share=share, cap=cap)
     return apply_mix(docs, params, id_col, text_col, source_col, cap=cap)
 
 
-def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as many times as its copies say, with ``columns`` only."""
-    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` as many times as the mix takes them, with their own columns and values. Cases as in ``mix``."""
+    params = fit_mix(docs, id_col, text_col, source_col, weights=weights, share=share, cap=cap)
+    rows = _decided(docs, params, id_col, text_col, source_col, cap).filter("copies > 0")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
