@@ -4,7 +4,7 @@ Layout (integers little endian):
 
     magic                 8 bytes, ``IDPLANE1``
     blocks                each: its planes one after another, each compressed by zstandard
-    documents             one zstandard frame: n ids (int64), then n lengths (uint64)
+    documents             one zstandard frame: n ids (int64), n lengths (uint64), n times 1 or, for a null id, 0 (uint8)
     index                 per block: first id's number (uint64), place (uint64), ids (uint32),
                           then the compressed length of each of its planes (uint32; 0: all zero)
     footer                40 bytes: places of documents and index (uint64), blocks (uint64), ids (uint64),
@@ -63,7 +63,7 @@ class PlaneWriter:
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.waiting: list[np.ndarray] = []
         self.n_waiting = self.n_ids = 0
-        self.docs: list[int] = []
+        self.docs: list[int | None] = []
         self.lengths: list[int] = []
         self.index: list[bytes] = []
         self.place = 0
@@ -73,7 +73,7 @@ class PlaneWriter:
         self.stream.write(data)
         self.place += len(data)
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc)
         self.lengths.append(len(ids))
         self.waiting.append(ids)
@@ -96,7 +96,9 @@ class PlaneWriter:
         """Write what waits, the tables and the footer. The stream stays open."""
         self._flush(last=True)
         docs_at = self.place
-        self._put(self.zstd.compress(np.array(self.docs, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes()))
+        docs = [0 if d is None else d for d in self.docs]
+        known = bytes(d is not None for d in self.docs)
+        self._put(self.zstd.compress(np.array(docs, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes() + known))
         index_at = self.place
         self._put(b"".join(self.index))
         self._put(_FOOTER.pack(docs_at, index_at, len(self.index), self.n_ids, self.block, self.width, 4 if self.width == 8 else 32) + MAGIC)
@@ -112,8 +114,10 @@ class PlaneFile:
         docs_at, index_at, blocks, self.n_ids, self.block, self.width, planes = _FOOTER.unpack(data[-8 - _FOOTER.size : -8])
         self.zstd = zstandard.ZstdDecompressor()
         table = self.zstd.decompress(data[docs_at:index_at]) if index_at > docs_at else b""
-        half = len(table) // 2
-        self.docs, self.lengths = np.frombuffer(table[:half], "<i8"), np.frombuffer(table[half:], "<u8").astype(np.int64)
+        n = len(table) // 17
+        docs = np.frombuffer(table[: 8 * n], "<i8").tolist()
+        self.docs = [d if known else None for d, known in zip(docs, table[16 * n :], strict=True)]
+        self.lengths = np.frombuffer(table[8 * n : 16 * n], "<u8").astype(np.int64)
         row = struct.Struct(f"<QQI{planes}I")
         self.index = [row.unpack_from(data, index_at + i * row.size) for i in range(blocks)]
 
@@ -138,7 +142,7 @@ class PlaneFile:
     def documents(self):
         """Yield (document, number of its first id, its ids) in file order, a block in memory at a time."""
         start, at, have, base = 0, 0, np.empty(0, "<u4"), 0
-        for doc, n in zip(self.docs.tolist(), self.lengths.tolist(), strict=True):
+        for doc, n in zip(self.docs, self.lengths.tolist(), strict=True):
             parts = []
             need = n
             while need:

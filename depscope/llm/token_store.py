@@ -1,10 +1,10 @@
 """Tokenise documents, store their ids as files of shuffled planes in id order, and read them back.
 
 Documents are range-partitioned by id and sorted; each task encodes its range and streams it to
-one file (``planes``). A file appears under its final name in one move when it is complete, so a task
-that is lost, repeated or run twice leaves one whole file. The manifest, a row for each file
-with its number of ids, is a table beside them; the position of a file's first id is the sum of
-those before it. Reading uses Spark's ``binaryFile`` source.
+files (``planes``). A file appears under its final name in one move when it is complete, so a task
+that is lost, repeated or run twice leaves whole files, the same ones. A long range is several files. The manifest,
+a row for each file with its number of ids, is a table beside them; the position of a file's first id is the
+sum of those before it. Reading uses Spark's ``binaryFile`` source.
 """
 
 from __future__ import annotations
@@ -89,34 +89,52 @@ def _encoder(shared) -> AddedTokenEncoder:
     return _encoders[key]
 
 
-def _write(batches, shared, folder: str, options: dict, rows: int = 256):
+def _write(batches, shared, folder: str, file_ids: int, options: dict, rows: int = 256):
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-    encoder, stream, writer = _encoder(shared), None, None
+    encoder, writer, files = _encoder(shared), None, 0
     part = TaskContext.get().partitionId()
     end = struct.pack("<I", END_ID)
-    name = f"part-{part:06d}.ids"
-    hidden = f"{base}/.{name}.{uuid.uuid4().hex}"
+
+    def finish():
+        writer.close()
+        writer.stream.close()
+        name = f"part-{part:08d}-{files:05d}.ids"
+        fs.move(hidden, f"{base}/{name}")
+        values = ([part], [files], [name], [len(writer.docs)], [writer.n_ids])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["part", "file", "name", "n_docs", "n_ids"])
+
     for whole in batches:
         for i in range(0, whole.num_rows, rows):
             batch = whole.slice(i, rows)
-            if writer is None:
-                stream = fs.open_output_stream(hidden)
-                writer = PlaneWriter(stream, **options)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if writer is None:
+                    hidden = f"{base}/.part-{part:08d}-{uuid.uuid4().hex}"
+                    writer = PlaneWriter(fs.open_output_stream(hidden), **options)
                 writer.add(doc, np.frombuffer(encoder.encode(text) + end, "<u4"))
+                if writer.n_ids + writer.n_waiting >= file_ids:
+                    yield finish()
+                    writer, files = None, files + 1
     if writer is not None:
-        writer.close()
-        stream.close()
-        fs.move(hidden, f"{base}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(writer.docs)]), pa.array([writer.n_ids])], ["part", "name", "n_docs", "n_ids"])
+        yield finish()
+
+
+def _partitions(rows: DataFrame, task_bytes: int) -> int | None:
+    """Number of ranges for tables too large for the session's number of shuffle partitions, by the size of what is read."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if rows.sparkSession.conf.get("spark.sql.shuffle.partitions") is None or size > 1 << 60:  # unknown
+        return None
+    n = -(-size // task_bytes)
+    return n if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Write all documents to ``folder`` and return the manifest: part, name, n_docs, n_ids, start.
+def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, file_ids: int = 1 << 26, task_bytes: int = 1 << 29, **options) -> DataFrame:
+    """Write all documents to ``folder`` and return the manifest: part, file, name, n_docs, n_ids, start.
 
-    A string of an added token in a text is that token, as in the library. ``options`` go to ``PlaneWriter``. Null text counts as empty: such a document has the end id
-    only. Rows that repeat an id stand next to each other, ordered by text. Rows with a null id come
-    first, under the smallest 64-bit integer. An empty table writes no file.
+    A string of an added token in a text is that token, as in the library. A file ends with the document that brings it
+    to ``file_ids`` ids, so it has 256 MB of ids and one document at most before compression; a task reads about ``task_bytes``
+    bytes of the table. ``options`` go to ``PlaneWriter``. Null text counts as empty: such a document has the end id
+    only. Rows that repeat an id stand next to each other, ordered by a hash of their text. Rows with a null id
+    come first. Only the two columns named are read. An empty table writes no file.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -124,27 +142,31 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, i
         shared = spark.sparkContext.broadcast((f.read(), pattern))
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    no_id = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    files = rows.mapInArrow(lambda batches: _write(batches, shared, folder, options), "part long, name string, n_docs long, n_ids long")
-    files = written(files, f"{folder}/manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ranges = _partitions(rows, task_bytes)
+    # The hash deals rows that share an id, such as those without one, to several ranges.
+    order = ["id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order, "text")
+    schema = "part long, file long, name string, n_docs long, n_ids long"
+    files = written(rows.mapInArrow(lambda batches: _write(batches, shared, folder, file_ids, options), schema), f"{folder}/manifest")
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
 
 def _read(batches):
+    names = ["name", "id", "first", "n_tokens", "ids_crc32"]
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            part = int(path.as_py().rsplit("part-", 1)[1].split(".")[0])
-            rows = [(part, doc, start, len(ids), crc32(ids)) for doc, start, ids in PlaneFile(content.as_buffer()).documents()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["part", "id", "first", "n_tokens", "ids_crc32"])
+            name = path.as_py().rsplit("/", 1)[1]
+            rows = [(name, doc, start, len(ids), crc32(ids)) for doc, start, ids in PlaneFile(content.as_buffer()).documents()]
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files of ``folder``."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder).select("path", "content")
-    rows = files.mapInArrow(_read, "part long, id long, first long, n_tokens long, ids_crc32 long")
-    rows = rows.join(manifest.select("part", "start"), "part")
+    rows = files.mapInArrow(_read, "name string, id long, first long, n_tokens long, ids_crc32 long")
+    rows = rows.join(manifest.select("name", "start"), "name")
     return rows.select("id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
