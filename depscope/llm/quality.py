@@ -1,16 +1,15 @@
 """Quality by random indexing and a small neural network.
 
-Every word stands for two entries of a fixed vocabulary: a bucket of its hash, and a bucket of
-its shape (kinds of characters, and whether it repeats the word before it). Each entry has a
-sparse random index vector, derived from its number. One pass over all documents adds up,
-for each entry, the index vectors of the entries up to two words away: entries in similar
-surroundings get similar vectors. The vocabulary is fixed, so what a task emits, what is
-summed and what is broadcast are bounded, whatever the corpus.
-
-A document is the mean of its words' vectors, of its shapes' vectors and of its shapes' index vectors,
-and its length. A network with one hidden layer, trained with numpy on a bounded sample of
-labelled documents, scores it; a temperature fitted on a part of the sample that the network
-has not seen turns its output into probabilities.
+Every word has a sparse random index vector, derived from its hash. One pass over all documents adds up,
+for each word, the index vectors of the words up to two places away: words in similar surroundings get
+similar vectors. What all words have in common is taken off, and vectors are scaled to one length. The table has
+``ENTRIES`` rows, found by hash, so what a task emits, what is summed and what is broadcast are bounded,
+whatever the corpus; in a larger vocabulary, rare words share rows.
+
+A document is pooled from its words' vectors: their mean, their standard deviation, the mean product of
+neighbours (high where words repeat or stay in one register), and its length. A network with one
+hidden layer, trained with numpy on a bounded sample of labelled documents, scores it; a temperature
+fitted on a part of the sample that the network has not seen turns its output into probabilities.
 """
 
 from __future__ import annotations
@@ -24,86 +23,95 @@ from depscope.llm.common import held_out, sampled_labels, ship
 from depscope.llm.textvec import Words, groups, per_doc
 
 DIM = 32
-WORD_BUCKETS, SHAPE_BUCKETS = 12_288, 4_096
-ENTRIES = WORD_BUCKETS + SHAPE_BUCKETS
+ENTRIES = 1 << 16
 WINDOW = 2
+FEATURES = 3 * DIM + 1
 
 
 def index_vectors() -> np.ndarray:
-    """[ENTRIES + 1, DIM]: two places +1 and two places -1 each; the last, for gaps, is zero."""
+    """[ENTRIES, DIM]: two places +1 and two places -1 each."""
     rng = np.random.default_rng(20)
     places = rng.random((ENTRIES, DIM)).argsort(1)[:, :4]
-    out = np.zeros((ENTRIES + 1, DIM), np.int8)
+    out = np.zeros((ENTRIES, DIM), np.int8)
     rows = np.arange(ENTRIES)[:, None]
     out[rows, places[:, :2]], out[rows, places[:, 2:]] = 1, -1
     return out
 
 
-class Entries:
-    """Word and shape entries of some texts, with the document of each word."""
+def entries(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, doc) of every word of some texts, in order."""
+    w = Words(texts, spaced=True)
+    return ((w.hashes(w.start, w.end) >> np.uint64(20)) % np.uint64(ENTRIES)).astype(np.uint16), w.doc
 
-    def __init__(self, texts: list[str | None]):
-        w = Words(texts, spaced=True)
-        h = w.hashes(w.start, w.end)
-        same = np.zeros(len(h), bool)
-        if len(h):
-            same[1:] = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
-        shape = w.shapes() ^ (same.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.word = ((h >> np.uint64(20)) % np.uint64(WORD_BUCKETS)).astype(np.uint16)
-        self.shape = ((shape >> np.uint64(20)) % np.uint64(SHAPE_BUCKETS) + np.uint64(WORD_BUCKETS)).astype(np.uint16)
-        self.doc = w.doc
 
-
-def add_contexts(x: Entries, index: np.ndarray, total: np.ndarray) -> None:
-    """Add to ``total`` the index vectors around each word and shape, within documents."""
-    n = len(x.doc)
+def add_contexts(entry: np.ndarray, doc: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` [ENTRIES, DIM + 1] the index vectors around each word, within documents, and a count."""
+    n = len(doc)
     if not n:
         return
     # WINDOW gaps after every document keep its neighbours apart.
-    at = np.arange(n) + x.doc.astype(np.int64) * WINDOW + WINDOW
+    at = np.arange(n) + doc.astype(np.int64) * WINDOW + WINDOW
     own = np.zeros((at[-1] + 1 + WINDOW, DIM), np.int16)
-    own[at] = index[x.word].astype(np.int16) + index[x.shape]
+    own[at] = index[entry]
     around = np.zeros((n, DIM), np.int16)
     for k in range(1, WINDOW + 1):
         around += own[at - k]
         around += own[at + k]
-    for entry in (x.word, x.shape):
-        order = np.argsort(entry, kind="stable")
-        sorted_ = entry[order]
-        first = np.flatnonzero(np.diff(sorted_.astype(np.int32), prepend=-1))
-        total[sorted_[first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+    order = np.argsort(entry, kind="stable")
+    sorted_ = entry[order]
+    first = np.flatnonzero(np.diff(sorted_.astype(np.int32), prepend=-1))
+    total[sorted_[first], :DIM] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+    total[:, DIM] += np.bincount(entry, minlength=ENTRIES)
+
+
+_NAMES = [*[f"v{i}" for i in range(DIM)], "n"]
 
 
 def _contexts(batches):
-    index, total = index_vectors(), np.zeros((ENTRIES, DIM), np.int64)
+    index, total = index_vectors(), np.zeros((ENTRIES, DIM + 1), np.int64)
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for first, end in groups(texts):
-            add_contexts(Entries(texts[first:end]), index, total)
-    some = np.flatnonzero(total.any(1))
-    names = ["entry", *[f"v{i}" for i in range(DIM)]]
-    yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, i]) for i in range(DIM)]], names)
+            add_contexts(*entries(texts[first:end]), index, total)
+    some = np.flatnonzero(total[:, DIM])
+    yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, i]) for i in range(DIM + 1)]], ["entry", *_NAMES])
+
+
+def centred(total: np.ndarray) -> np.ndarray:
+    """Unit vectors of the entries without their common part; zero for entries that never occur."""
+
+    def unit(v):
+        length = np.sqrt((v * v).sum(1, keepdims=True))
+        return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+
+    v, n = unit(total[:, :DIM].astype(np.float64)), total[:, DIM:]
+    common = (v * n).sum(0) / max(1, n.sum())
+    return unit(np.where(v.any(1, keepdims=True), v - common, 0)).astype(np.float32)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """[ENTRIES + 1, DIM] unit vectors of all entries, from all documents; zero for entries that never occur."""
+    """[ENTRIES, DIM] vectors of all entries, from all documents."""
     ship(docs.sparkSession)
-    schema = "entry long, " + ", ".join(f"v{i} long" for i in range(DIM))
+    schema = "entry long, " + ", ".join(f"{c} long" for c in _NAMES)
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_contexts, schema)
-    rows = parts.groupBy("entry").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)]).collect()
-    out = np.zeros((ENTRIES + 1, DIM))
-    for r in rows:
-        out[r["entry"]] = r[1:]
-    length = np.sqrt((out * out).sum(1, keepdims=True))
-    return np.divide(out, length, out=np.zeros_like(out), where=length > 0).astype(np.float32)
-
-
-def features(texts: list[str | None], vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """One row per text: pooled word vectors, shape vectors and shape index vectors, and length."""
-    x, n = Entries(texts), len(texts)
-    words = np.bincount(x.doc, minlength=n)
-    pooled = [per_doc(table[e].astype(np.float32), x.doc, n) for table, e in ((vectors, x.word), (vectors, x.shape), (index, x.shape))]
-    return np.concatenate([np.concatenate(pooled, 1) / np.maximum(1, words)[:, None], np.log1p(words)[:, None] / 10], 1)
+    rows = parts.groupBy("entry").agg(*[F.sum(c).alias(c) for c in _NAMES]).toArrow()
+    total = np.zeros((ENTRIES, DIM + 1), np.int64)
+    total[rows["entry"].to_numpy()] = np.stack([rows[c].to_numpy() for c in _NAMES], 1)
+    return centred(total)
+
+
+def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+    """One row per text: mean, standard deviation and product of neighbours of its words' vectors, and length."""
+    entry, doc = entries(texts)
+    n = len(texts)
+    words = np.bincount(doc, minlength=n)
+    some = np.maximum(1, words)[:, None]
+    v = vectors[entry]
+    mean = per_doc(v, doc, n) / some
+    spread = np.sqrt(np.maximum(0, per_doc(v * v, doc, n) / some - mean * mean))
+    after = np.zeros_like(v)
+    after[:-1] = np.where((doc[1:] == doc[:-1])[:, None], v[:-1] * v[1:], 0)
+    return np.concatenate([mean, spread, per_doc(after, doc, n) / some, np.log1p(words)[:, None] / 10], 1)
 
 
 class Network:
@@ -122,7 +130,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4, batch: int = 64, seed: int = 3) -> Network:
+def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-3, batch: int = 64, seed: int = 3) -> Network:
     """Train by Adam on four fifths of the rows, fit the temperature on the rest."""
     if len(set(y.tolist())) < 2:
         return Network(0, 1, None, constant=float(y[0]) if len(y) else 0.5)
@@ -150,29 +158,29 @@ def fit(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 60, rat
                 p[i] = p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     net = Network(mean, scale, p)
     logits, target = net.logits(x[held]), y[held]
-    # The log loss is convex in the inverse temperature: a fine grid is enough.
-    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 200))
+    # The log loss is convex in the inverse temperature: a fine and wide grid is enough.
+    grid = np.exp(np.linspace(np.log(0.02), np.log(50), 400))
     losses = [np.logaddexp(0, np.where(target == 1, -logits, logits) / g).mean() for g in grid]
     net.temperature = float(grid[int(np.argmin(losses))])
     return net
 
 
 def _label_features(batches, broadcast):
-    vectors, index = broadcast.value, index_vectors()
+    vectors = broadcast.value
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for first, end in groups(texts):
-            x = features(texts[first:end], vectors, index).astype("<f4")
+            x = features(texts[first:end], vectors).astype("<f4")
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
 
 def _scores(batches, broadcast):
-    (vectors, net), index = broadcast.value, index_vectors()
+    vectors, net = broadcast.value
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for first, end in groups(texts):
             # In single precision, as the training rows were.
-            x = features(texts[first:end], vectors, index).astype(np.float32).astype(np.float64)
+            x = features(texts[first:end], vectors).astype(np.float32).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(net.scores(x))], ["id", "score"])
 
 
@@ -182,8 +190,9 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     Word vectors come from all documents; the network is fitted on at most ``sample`` labelled
     documents outside the held-out fifth, those first by a hash of their id, with each label's
     limit its share of that. Null and blank texts count as empty: they are scored as documents
-    without words. Without labels of both kinds the score is a constant: the label if there is
-    one, else 0.5.
+    without words. Texts are read whole, however long. Rows that repeat an id are scored each for itself; equal texts
+    have equal scores. Other columns are not read. An empty table gives no rows. Without labels of both kinds the
+    score is a constant: the label if there is one, else 0.5.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -195,7 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__label").cast("int"), F.col(text_col).cast("string"))
     got = rows.mapInArrow(lambda b: _label_features(b, shared), "label int, x binary").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["x"])))  # whatever order the tasks ended in
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in got], np.float64).reshape(len(got), 3 * DIM + 1)
+    x = np.array([np.frombuffer(r["x"], "<f4") for r in got], np.float64).reshape(len(got), FEATURES)
     net = fit(x, np.array([r["label"] for r in got]))
     both = spark.sparkContext.broadcast((vectors, net))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))

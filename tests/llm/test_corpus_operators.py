@@ -228,7 +228,8 @@ def test_quality(spark, sf_dir, odd):
     got = by_id(quality.classify(docs, labels), "id")
     held = [r for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert len(got) == docs.count() and all(got[r["doc_id"]]["held_out"] for r in held)
-    assert np.mean([got[r["doc_id"]]["predicted"] == r["quality"] for r in held if r["doc_id"] in got]) > 0.8
+    right = {k: [got[r["doc_id"]]["predicted"] == k for r in held if r["quality"] == k] for k in (0, 1)}
+    assert np.mean([np.mean(x) for x in right.values()]) > 0.75  # a constant has 0.5
     again = by_id(quality.classify(docs.repartition(3), labels.repartition(2)), "id")
     assert all(abs(again[i]["score"] - r["score"]) < 1e-6 for i, r in got.items())
     none = labels.limit(0)
