@@ -27,22 +27,27 @@ from depscope.llm.components import join_hot
 
 # Elements of HTML by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math canvas object select".split())
+RAW = set("script style noscript template textarea title iframe".split())
+#: Not read either, but they hold elements; the first ones end where a block of the page begins.
+FOREIGN, FALLBACK = set("svg math select".split()), set("canvas object audio video".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_NESTING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tfoot", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-BOILERPLATE_TAGS = set("nav header footer aside form button dialog menu head".split())
+BOILERPLATE_TAGS = set("nav header footer aside button dialog menu head".split())
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of class and id values that mark what is not the article.
+# Words of class and id values that mark what is not the article. The first ones do so as the first or the last
+# word of a value, such as in footer-top or main-nav.
 BOILERPLATE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner banners "
-    "cookie cookies consent gdpr notice notices notification alert disclaimer modal popup overlay newsletter subscribe subscription signup paywall "
+    "ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promotion banners "
+    "cookie cookies consent gdpr notices modal popup overlay newsletter subscribe subscription signup paywall "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc topbar toolbar "
-    "header masthead footer sidebar sidebars aside widget widgets related recommended recommendations trending popular share sharing social "
-    "comment comments commentlist respond reply replies disqus discussion feedback form search login".split()
+    "masthead footer sidebar sidebars aside widget widgets recommended recommendations "
+    "comment comments commentlist disqus".split()
 )
-
+#: These have other meanings too (ad-hoc, share-worthy, header-fixed): as the last word, or before a word for a part of a page.
+WEAK_WORDS = set("ad adv promo banner notice notification alert disclaimer header related trending popular share sharing social respond reply replies discussion feedback form search login".split())
+PART_WORDS = set("area articles bar block box button buttons column container content form group holder icon icons inner item items label left link links list media menu message nav outer panel post posts region right row section slot space stories text title top unit widget wrap wrapper zone".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|$)""", re.S)
 #: Any attribute with its value, so that no word inside a value is taken for an attribute.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
@@ -52,7 +57,7 @@ COMMENT_WORDS = set("comment comments commentlist respond reply replies disqus d
 MOST = 0.8
 #: Paths that a host has besides its winner.
 TEMPLATES = 64
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z][a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: A class such as has-sidebar says something about an element's surroundings.
 _ABOUT_OTHERS = ("has-", "with-", "no-", "without-")
@@ -63,15 +68,18 @@ _SPACE = re.compile(r"\s+")
 class Element:
     """An open element: tag, generalised step of its path, parent, and whether it is boilerplate.
 
-    ``clutter`` is what tags, roles and hiding say; ``words`` are the words of its class and id that would
-    make it boilerplate, which ``_settle`` decides when the whole page is known.
+    ``clutter`` is what tags, roles and hiding say. ``words`` are words of its class and id (or its tag form) that
+    would make it boilerplate; ``_settle`` decides when the whole page is known whether it is ``marked`` so. Marks
+    are not inherited: a container inside a marked element can win, and its ancestors are then no boilerplate.
     """
 
-    __slots__ = ("clutter", "inside_link", "number", "parent", "path", "step", "tag", "words")
+    __slots__ = ("clutter", "foreign", "inside_link", "marked", "number", "parent", "path", "step", "tag", "words")
 
     def __init__(self, tag: str, step: str, parent, clutter: bool, number: int, words: frozenset = frozenset()):
         self.tag, self.step, self.parent, self.number, self.words = tag, step, parent, number, words
         self.clutter = clutter or (parent is not None and parent.clutter)
+        self.marked = False
+        self.foreign = tag in FOREIGN or (parent is not None and parent.foreign)
         self.inside_link = tag == "a" or (parent is not None and parent.inside_link)
         self.path = step if parent is None else parent.path if tag in INLINE else f"{parent.path}>{step}"
 
@@ -85,15 +93,28 @@ class Block:
         self.text, self.linked, self.element = text, linked, element
 
 
+def _marks(value: str) -> set[str]:
+    """The words of a class or id value that speak of boilerplate."""
+    found = set()
+    for part in value.split():
+        words = _WORD.findall(_CAMEL.sub(" ", part).lower())
+        if not words or part.lower().startswith(_ABOUT_OTHERS):
+            continue
+        found |= {words[0], words[-1]} & BOILERPLATE_WORDS
+        found |= {words[-1]} & WEAK_WORDS
+        if words[-1] in PART_WORDS:
+            found |= {words[0]} & WEAK_WORDS
+    return found
+
+
 def _element(tag: str, attributes: str, parent: Element, number: int) -> Element:
-    step, clutter, marks = tag, tag in BOILERPLATE_TAGS, frozenset()
+    step, clutter, marks = tag, tag in BOILERPLATE_TAGS or tag in FOREIGN or tag in FALLBACK, frozenset(("form",)) if tag == "form" else frozenset()
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                words = {w for part in value.split() if not part.lower().startswith(_ABOUT_OTHERS) for w in _WORD.findall(_CAMEL.sub(" ", part).lower())}
                 if tag not in ("html", "body", "article", "main"):
-                    marks |= words & BOILERPLATE_WORDS
+                    marks |= _marks(value)
                 if name == "class" and value:
                     step += "." + ".".join(sorted(_DIGITS.sub("#", v) for v in value.split()))
             elif name == "role":
@@ -107,7 +128,7 @@ def _settle(found: list[Block], elements: list[Element], mains: list[Element]) -
     """Decide which elements are boilerplate by the words of their class and id.
 
     Those are not that hold main, every article of the page or most of its text, since they are the page's
-    layout. If nothing would be left of the text, the words do not count at all.
+    layout; nor are paragraphs and headings in an article, for any word that is not about comments.
     """
     marked = {e.number for e in elements if e.words}
     if not marked:
@@ -133,14 +154,24 @@ def _settle(found: list[Block], elements: list[Element], mains: list[Element]) -
                 held[up.number] += weight
             up = up.parent
     for e in elements:
+        if e.words and not e.words & COMMENT_WORDS and e.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") and _has(e, ("article", "main")):
+            layout.add(e.number)
         if e.words and not e.words & COMMENT_WORDS and ((n_articles and articles[e.number] == n_articles) or held[e.number] > MOST * total):
             layout.add(e.number)
-    bad = {e.number: e.number in marked - layout for e in elements}
-    for e in elements:  # parents come before their children
-        bad[e.number] |= e.parent is not None and bad.get(e.parent.number, False)
-    if any(not b.element.clutter and not bad.get(b.element.number, False) for b in found):
-        for e in elements:
-            e.clutter |= bad[e.number]
+    for e in elements:
+        e.marked = e.number in marked - layout
+
+
+def _kept(b: Block, path: str | None = None) -> bool:
+    """Whether a block is no boilerplate. Elements around the container path that won are not marked."""
+    if b.element.clutter:
+        return False
+    up = b.element
+    while up is not None:
+        if up.marked and (path is None or not (path == up.path or path.startswith(f"{up.path}>"))):
+            return False
+        up = up.parent
+    return True
 
 
 def blocks(page: str) -> list[Block]:
@@ -197,13 +228,20 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag in RAW:
-            if tag not in ("svg", "math"):
-                flush()
+            flush()
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
-                place = end.end() if end else n
+                # Without an end, scripts and styles go on to the end of the page; others are taken as empty.
+                place = end.end() if end else n if tag in ("script", "style") else place
             continue
-        if tag not in INLINE:
+        if at.foreign and (tag in CLOSES_P or tag in SELF_NESTING or tag in ("body", "section", "article")) and tag != "option":
+            while at.foreign:
+                at = at.parent
+        if (tag in FOREIGN or at.foreign) and m[3].rstrip().endswith("/"):
+            continue
+        if tag in FOREIGN or tag in FALLBACK:
+            flush()
+        elif tag not in INLINE and not at.foreign:
             flush()
             close = SELF_NESTING.get(tag)
             if close:
@@ -239,13 +277,22 @@ def _owner(element: Element) -> Element:
 
 def container_scores(found: list[Block]) -> dict[str, float]:
     """Score of each generalised container path: text outside links in its blocks, commas counting more;
-    half of it counts for the parent, a quarter for the grandparent."""
+    half of it counts for the parent, a quarter for the grandparent. Text that words of classes mark counts for a
+    fifth, so that many pages can outvote such a word, and for nothing if the words are about comments."""
     scores: dict[str, float] = {}
     for b in found:
         element = b.element
         if element.clutter or b.linked * 2 > len(b.text):
             continue
         weight = len(b.text) - b.linked + 20 * b.text.count(",")
+        up = element
+        while up is not None:
+            if up.marked:
+                weight *= 0.0 if up.words & COMMENT_WORDS else 0.2
+                break
+            up = up.parent
+        if not weight:
+            continue
         element = _owner(element)
         share = 1.0
         for _ in range(3):
@@ -264,7 +311,7 @@ def _lifted(path: str, found: list[Block]) -> set[int]:
     the smallest element below body with an h1 that is not yet inside, if three quarters of its text are.
     """
     inside = f"{path}>"
-    on = [b for b in found if not b.element.clutter and (b.element.path == path or b.element.path.startswith(inside))]
+    on = [b for b in found if _kept(b, path) and (b.element.path == path or b.element.path.startswith(inside))]
     out: set[int] = set()
     for b in on:
         own = b.element
@@ -282,7 +329,7 @@ def _lifted(path: str, found: list[Block]) -> set[int]:
     held = sum(len(b.text) for b in on)
     if on and not any(_has(b.element, ("article", "main", "h1")) for b in on):
         for title in found:
-            if title.element.clutter or not _has(title.element, ("h1",)):
+            if not _kept(title, path) or not _has(title.element, ("h1",)):
                 continue
             above, up = set(), title.element
             while up is not None:
@@ -292,7 +339,7 @@ def _lifted(path: str, found: list[Block]) -> set[int]:
             while up is not None and up.number not in above:
                 up = up.parent
             if up is not None and up.parent is not None and up.tag not in ("html", "body"):
-                text = sum(len(b.text) for b in found if not b.element.clutter and _within(b.element, {up.number}))
+                text = sum(len(b.text) for b in found if _kept(b, path) and _within(b.element, {up.number}))
                 if held >= 0.75 * text:
                     out.add(up.number)
                     break
@@ -321,8 +368,7 @@ def main_text(found: list[Block], path: str | list[str] | None) -> str:
     Of several paths, the one with the best score on the page counts; of none that the page has, its best container.
     """
     paths = [path] if isinstance(path, str) else path or []
-    there = [b.element.path for b in found if not b.element.clutter]
-    paths = [p for p in paths if any(x == p or x.startswith(f"{p}>") for x in there)]
+    paths = [p for p in paths if any((b.element.path == p or b.element.path.startswith(f"{p}>")) and _kept(b, p) for b in found)]
     if len(paths) != 1:
         scores = container_scores(found)
         paths = paths or list(scores)
@@ -330,7 +376,7 @@ def main_text(found: list[Block], path: str | list[str] | None) -> str:
     if not paths:
         return ""
     numbers = _lifted(paths[0], found)
-    return " ".join(b.text for b in found if not b.element.clutter and _within(b.element, numbers))
+    return " ".join(b.text for b in found if _kept(b, paths[0]) and _within(b.element, numbers))
 
 
 def _votes(batches):
@@ -387,7 +433,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Character references are decoded, white space inside a block becomes one space, blocks are
     trimmed and joined by one space in page order. A null or empty page, or one without text
     outside boilerplate, has an empty text. Pages whose URL has no host vote together. Rows
-    that repeat an id have a row each.
+    that repeat an id have a row each. Pages are read whole, however long; ties between paths go to the last by name.
+    Other columns are not read. An empty table gives no rows.
 
     The winners are broadcast up to ``broadcast_hosts`` hosts; beyond that, pages are dealt by
     host, those of the largest hosts evenly.

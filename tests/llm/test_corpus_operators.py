@@ -399,3 +399,10 @@ def test_html_of_a_host_with_two_templates(spark):
     for hosts in (100_000, 0):
         got = {r["id"]: r["text"] for r in html_text.extract(df, broadcast_hosts=hosts).collect()}
         assert all(got[i] == (f"A{i} {long}" if i < 9 else f"R{i} {long}").strip() for i in range(12)), got
+
+
+def test_a_host_outvotes_the_words_of_its_classes(spark):
+    long = "long, text " * 20
+    page = lambda i: f"<body><div class='promo box'><p>P{i} {long}</p></div><div class=low><p>x{i}, y</p></div><div class=footer><p>{'z, ' * (300 if i == 3 else 1)}</p></div></body>"
+    df = spark.createDataFrame([(i, "http://ex.org/", page(i)) for i in range(9)], "page_id long, url string, html string")
+    assert {r["id"]: r["text"] for r in html_text.extract(df).collect()} == {i: f"P{i} {long}".strip() for i in range(9)}
