@@ -1,20 +1,9 @@
-"""SimHash near-duplicates: fingerprints with numpy, links by vantage-point trees.
+"""SimHash near-duplicates: fingerprints with numpy, links by vantage-point trees (``vantage``).
 
 A link is a Hamming distance of at most ``radius`` (3) between 64-bit fingerprints. If two
 fingerprints are that close, one of their two 32-bit halves differs in ``radius // 2`` (1) bits at
-most. So each half has a vantage-point tree of its own: a node has a vantage point v and a
-radius m, and fingerprints go inside (distance of their half to v at most m) or outside. By the
-triangle inequality a query has to enter the inside only if its distance is at most m + 1, the
-outside only if it is at least m. The same search on whole fingerprints would have to enter both
-sides for distances within 3 of m, which is most of them; on halves it is about a quarter.
-
-The leaves are the shards. Each fingerprint is stored in its own leaf of each tree and sent as a
-query to every leaf that its bound allows, and a shard compares whole fingerprints, skipping by
-the triangle inequality on the distance to one more vantage point. Links are exact, and
-none is lost: trees are built from a bounded sample, but that affects the sizes of the shards only.
-A shard returns a spanning forest of its links, no more rows than it has fingerprints.
-Shards that the sample shows to be large, such as those of dense groups of near copies, deal
-their queries to several tasks.
+most, so the trees are on halves, and no link is lost. Equal fingerprints are one node. Links never leave
+their shard as pairs, only as spanning forests; connected components join these.
 """
 
 from __future__ import annotations
@@ -25,19 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.common import hash_sample, rows_of, ship, written
+from depscope.llm.common import rows_of, ship, written
 from depscope.llm.components import connected_components, join_hot
-from depscope.llm.forest import Forest
+from depscope.llm.vantage import Search, hamming_links
 
 SEED = 42
-BLOCKS = 2
-BITS = 32
 _SPACED = np.uint64(0x0101010101010101)
 
 
-# --- fingerprints ----------------------------------------------------------------------------
-
-
 def shingle_hashes(text: str | None, words: int = 3) -> list[int]:
     """XXH64 (seed 42) of every shingle of ``words`` words of the text; fewer words: of all of them."""
     parts = (text or "").encode("utf-8", "replace").lower().split()
@@ -88,144 +72,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lambda batches: _fingerprints(batches, words), "id long, fp long")
 
 
-# --- vantage-point trees ---------------------------------------------------------------------
-
-
-class Node:
-    """A vantage point with its radius and two sides, or a leaf with its number and number of tasks."""
-
-    __slots__ = ("inside", "leaf", "outside", "point", "radius", "tasks")
-
-    def __init__(self, point=None, radius=None, inside=None, outside=None, leaf=None, tasks=1):
-        self.point, self.radius, self.inside, self.outside, self.leaf, self.tasks = point, radius, inside, outside, leaf, tasks
-
-    def __reduce__(self):
-        return Node, (self.point, self.radius, self.inside, self.outside, self.leaf, self.tasks)
-
-
-def build_tree(codes: np.ndarray, scale: float, leaf_rows: int, rng: np.random.Generator, leaves: list[Node]) -> Node:
-    """Tree over a sample of 32-bit codes, each standing for ``scale`` fingerprints; appends its leaves."""
-    if len(codes) * scale > leaf_rows and len(codes) > 1:
-        best = None
-        for point in rng.choice(codes, min(8, len(codes)), replace=False):
-            d = np.bitwise_count(codes ^ point)
-            for m in range(int(d.min()), int(d.max())):
-                # Rows in the larger side and at the boundary are what the next levels have to do.
-                inside, both = int((d <= m).sum()), int(((d == m) | (d == m + 1)).sum())
-                cost = max(inside, len(codes) - inside) + both
-                if best is None or cost < best[0]:
-                    best = (cost, point, m, d)
-        if best and best[0] < 1.6 * len(codes):
-            _, point, m, d = best
-            return Node(int(point), m, build_tree(codes[d <= m], scale, leaf_rows, rng, leaves), build_tree(codes[d > m], scale, leaf_rows, rng, leaves))
-    node = Node(leaf=len(leaves), tasks=max(1, int(np.ceil(len(codes) * scale / (4 * leaf_rows)))))
-    leaves.append(node)
-    return node
-
-
-def route(node: Node, codes: np.ndarray, rows: np.ndarray, reach: int, home: np.ndarray):
-    """Yield (leaf, rows, their home flags): every leaf that a query within ``reach`` has to visit."""
-    if not len(rows):
-        return
-    if node.leaf is not None:
-        yield node, rows, home
-        return
-    d = np.bitwise_count(codes[rows] ^ np.uint32(node.point)).astype(np.int16)
-    near, far = d <= node.radius + reach, d > node.radius - reach
-    yield from route(node.inside, codes, rows[near], reach, (home & (d <= node.radius))[near])
-    yield from route(node.outside, codes, rows[far], reach, (home & (d > node.radius))[far])
-
-
-def halves(fp: np.ndarray) -> list[np.ndarray]:
-    return [(fp >> np.uint64(BITS * b)).astype(np.uint32) for b in range(BLOCKS)]
-
-
-def _routed(batches, trees: list[Node], bases: list[int], reach: int):
-    for batch in batches:
-        fp = np.asarray(batch.column(0)).view(np.uint64)
-        for tree, base, codes in zip(trees, bases, halves(fp), strict=True):
-            every = np.arange(len(fp))
-            for leaf, rows, home in route(tree, codes, every, reach, np.ones(len(fp), bool)):
-                own = fp[rows]
-                salt = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(leaf.tasks)
-                cell = [base + leaf.leaf * 4096 + salt.astype(np.int64)]
-                kind, sent = [np.zeros(len(rows), bool)], [own]
-                for t in range(leaf.tasks):
-                    cell.append(np.full(home.sum(), base + leaf.leaf * 4096 + t, np.int64))
-                    kind.append(np.ones(home.sum(), bool))
-                    sent.append(own[home])
-                columns = [np.concatenate(cell), np.concatenate(kind), np.concatenate(sent).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "home", "fp"])
-
-
-def near_pairs(queries: np.ndarray, stored: np.ndarray, radius: int, block: int = 1 << 21):
-    """Yield index arrays (q, s) of all pairs within ``radius``, a block at a time.
-
-    Both sides are ordered by their distance to one vantage point; by the triangle inequality a
-    query meets only those whose distance to it differs by ``radius`` at most.
-    """
-    if not len(queries) or not len(stored):
-        return
-    point = stored[0]
-    dq, ds = np.bitwise_count(queries ^ point).astype(int), np.bitwise_count(stored ^ point).astype(int)
-    order = np.argsort(ds, kind="stable")
-    ds = ds[order]
-    for d in np.unique(dq):
-        lo, hi = np.searchsorted(ds, [d - radius, d + radius + 1])
-        if lo == hi:
-            continue
-        own, there = np.flatnonzero(dq == d), order[lo:hi]
-        step = max(1, block // (hi - lo))
-        against = stored[there]
-        for i in range(0, len(own), step):
-            q, s = np.nonzero(np.bitwise_count(queries[own[i : i + step], None] ^ against) <= radius)
-            if len(q):
-                yield own[i + q], there[s]
-
-
-def _shard_links(table: pa.Table, radius: int) -> pa.Table:
-    fp = np.asarray(table.column("fp").combine_chunks()).view(np.uint64)
-    home = np.asarray(table.column("home").combine_chunks().cast(pa.uint8())).astype(bool)
-    nodes, at = np.unique(fp, return_inverse=True)
-    forest = Forest(len(nodes))
-    at_q, at_s = at[~home], at[home]
-    for q, s in near_pairs(fp[~home], fp[home], radius):
-        forest.add(at_q[q], at_s[s])
-    child = np.flatnonzero(forest.root != np.arange(len(nodes)))
-    a, b = nodes[forest.root[child]].view(np.int64), nodes[child].view(np.int64)
-    return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-
-def fingerprint_links(fps: DataFrame, *, radius: int = 3, leaf_rows: int = 1000, sample: int = 20_000, seed: int = 7) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints that links connect. ``fps``: distinct, column fp.
-
-    ``sample``: at most so many fingerprints go to the driver, to place vantage points.
-    """
-    ship(fps.sparkSession)
-    n = fps.count()
-    drawn = hash_sample(fps, sample, n, "fp").collect()
-    codes = np.array([r["fp"] for r in drawn], np.int64).view(np.uint64)
-    rng, trees, bases, base = np.random.default_rng(seed), [], [], 0
-    for half in halves(codes):
-        leaves: list[Node] = []
-        trees.append(build_tree(half, n / max(1, len(codes)), leaf_rows, rng, leaves))
-        bases.append(base)
-        base += 4096 * len(leaves)
-    reach = radius // BLOCKS
-    routed = fps.mapInArrow(lambda batches: _routed(batches, trees, bases, reach), "cell long, home boolean, fp long")
-    return routed.groupBy("cell").applyInArrow(lambda t: _shard_links(t, radius), "a long, b long")
-
-
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, radius: int = 3, leaf_rows: int = 1000) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, radius: int = 3, leaf_rows: int = 1 << 15) -> DataFrame:
     """(id, fp, component_id) for every row: component_id is the smallest id reachable by links.
 
     Null and blank texts have fingerprint 0, which links like any other. Equal fingerprints are
     one node, so copies cost nothing. A null id is never the smallest unless there is no other.
-    Rows that repeat an id each have their row. An empty table gives no rows.
+    Rows that repeat an id each have their row. Texts are read whole, however long. Ties (equal texts) share a
+    fingerprint. Only the two columns named are read, so others cannot clash. An empty table gives no rows.
     """
     thin = written(fingerprints(docs, id_col, text_col, words=words))
     groups = written(thin.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    labels = connected_components(fingerprint_links(groups.select("fp"), radius=radius, leaf_rows=leaf_rows))
+    nodes = groups.select(F.col("fp").alias("node"), F.col("fp").alias("f0"))
+    labels = connected_components(hamming_links(nodes, Search(1, 32, radius // 2, radius), leaf_rows=leaf_rows))
     linked = groups.join(labels.withColumnRenamed("node", "fp"), "fp").select("fp", "rep", "label")
     sizes = written(linked.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("fps")))
     total = sizes.agg(F.sum("fps")).first()[0] or 0

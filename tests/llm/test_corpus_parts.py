@@ -3,6 +3,7 @@
 import io
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -11,10 +12,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from depscope.llm import bpe, embeddings, html_text, planes, quality, sharding, simhash, textvec, toxicity
+from depscope.llm import bpe, embeddings, html_text, near_copies, planes, quality, sharding, simhash, textvec, toxicity, vantage
 from depscope.llm.forest import Forest
 from depscope.llm.pretokens import Splitter
-from depscope.llm.token_store import LibraryEncoder
+from depscope.llm.token_store import AddedTokenEncoder
 
 ODD = ["", " ", "\x1c\x1d", "a\x85b", "  x  y ", "don't we'll 'S", "naïve ñandú", "漢字かな", "🙂🙃", "a​b", "<|endoftext|>", "½ ² ⅷ 12", "\r\n\r\n x", "é", "x" * 5000, "　 a　b", "ſtraße"]
 
@@ -35,10 +36,8 @@ def tiktoken_encoding(vocabulary):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        return t, LibraryEncoder(f.read(), P.PATTERN)
+        return Tokenizer.from_file(P.path("byte_bpe_50k.json")), AddedTokenEncoder(f.read(), P.PATTERN)
 
 
 texts = st.text(st.one_of(st.sampled_from(list(" \n\t'sltdvem.!aZ09éñß漢\x1c\x85\xa0　")), st.characters(exclude_categories=["Cs"])), max_size=60)
@@ -85,11 +84,11 @@ def test_plane_files_round_trip(docs, width, block):
     out = io.BytesIO()
     w = planes.PlaneWriter(out, block=block, width=width)
     for i, d in enumerate(docs):
-        w.add(i * 3, np.array(d, "<u4"))
+        w.add(i * 3 if i % 4 else None, np.array(d, "<u4"))
     w.close()
     f = planes.PlaneFile(out.getvalue())
     flat = [x for d in docs for x in d]
-    assert [(doc, ids.tolist()) for doc, _, ids in f.documents()] == [(i * 3, d) for i, d in enumerate(docs)]
+    assert [(doc, ids.tolist()) for doc, _, ids in f.documents()] == [(i * 3 if i % 4 else None, d) for i, d in enumerate(docs)]
     for a in range(0, len(flat) + 1, 5):
         assert f.ids(a, min(9, len(flat) - a)).tolist() == flat[a : a + 9]
     with pytest.raises(IndexError):
@@ -122,25 +121,60 @@ def test_majority_counts_over_255():
     assert simhash.majority_bits(h) == want
 
 
-def test_tree_reaches_all_pairs():
+@pytest.mark.parametrize("search", [vantage.Search(1, 32, 1, 3), vantage.Search(1, 16, 1, 7), vantage.Search(2, 32, 2, 11)])
+def test_trees_connect_all_links(search):
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**64, 300, np.uint64)
-    near = np.concatenate([base] + [base[:120] ^ (np.uint64(1) << rng.integers(0, 64, 120, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 120, np.uint64)) for _ in range(4)])
-    fp = np.unique(np.concatenate([near, rng.integers(0, 2**64, 3000, np.uint64)]))
-    found = set()
-    for half in simhash.halves(fp):
+    rows = [rng.integers(0, 2**64, (2000, search.words), np.uint64)]
+    for bits in (1, 2, 3, 3, search.radius, search.radius + 1):  # chains and dense groups
+        some = rows[-1][:150].copy()
+        for _ in range(bits):
+            at = rng.integers(0, 64 * search.words, len(some))
+            some[np.arange(len(some)), at // 64] ^= np.uint64(1) << (at % 64).astype(np.uint64)
+        rows.append(some)
+    fp = np.unique(np.concatenate(rows), axis=0)
+    every = np.arange(len(fp))
+    forest = Forest(len(fp))
+    for b in range(search.count):
+        codes = np.ascontiguousarray(search.blocks(fp)[:, b])
         leaves = []
-        tree = simhash.build_tree(half[::3], 3, 60, np.random.default_rng(0), leaves)
-        stored, asked = {}, {}
-        for leaf, rows, home in simhash.route(tree, half, np.arange(len(fp)), 1, np.ones(len(fp), bool)):
-            stored[leaf.leaf], asked[leaf.leaf] = rows[home], rows
-        assert sorted(x for r in stored.values() for x in r) == list(range(len(fp))) and len(stored) > 5
-        for leaf in stored:
-            for q, s in simhash.near_pairs(fp[asked[leaf]], fp[stored[leaf]], 3):
-                found |= set(zip(asked[leaf][q].tolist(), stored[leaf][s].tolist(), strict=True))
-    d = np.bitwise_count(fp[:, None] ^ fp)
-    assert {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 3), strict=True)} <= found | {(b, a) for a, b in found}
-    assert all(d[a, b] <= 3 for a, b in found)
+        tree = vantage.build_tree(codes[::3], 3, 400, search.reach, np.random.default_rng(0), leaves)
+        stored = []
+        for _, rows_, home in vantage.route(tree, codes, every, search.reach, np.ones(len(fp), bool)):
+            stored += rows_[home].tolist()
+            shard = vantage.Shard(fp[rows_[home]], codes[rows_[home]], rows_[home], forest, search.radius)
+            shard.search(fp[rows_], codes[rows_], rows_, search.masks(), block=97)
+        assert sorted(stored) == every.tolist() and len(leaves) > 2
+    d = sum(np.bitwise_count(fp[:, None, w] ^ fp[:, w]).astype(int) for w in range(search.words))
+    want = Forest(len(fp))
+    want.add(*np.nonzero(d <= search.radius))
+    assert len(np.unique(want.root)) < len(fp) - 400
+    assert len(set(zip(want.root.tolist(), forest.root.tolist(), strict=True))) == len(np.unique(want.root)) == len(np.unique(forest.root))
+
+
+def test_ranges_in_pieces():
+    of, place = vantage.expand(np.array([3, 9, 5]), np.array([5, 9, 8]))
+    assert of.tolist() == [0, 0, 2, 2, 2] and place.tolist() == [3, 4, 5, 6, 7]
+    assert [len(x) for x in vantage.expand(np.array([], int), np.array([], int))] == [0, 0]
+    n = np.array([0, 3, 50, 1, 1, 0, 9])
+    parts = list(vantage._pieces(n, 5))
+    assert np.concatenate([n[p] for p in parts]).tolist() == n.tolist() and all(n[p].sum() <= 5 or len(n[p]) == 1 for p in parts if n[p].sum() > 5)
+
+
+def plain_shingles(text, words=5):
+    parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def test_shingle_sets_and_wide_fingerprints():
+    texts_ = ["a b c d e f", "A  b\tc d E f g", None, "one two", "", "TWO one", "x y " * 900, "é漢 b"]
+    h, n = near_copies.shingle_sets(texts_)
+    sets = [set(x.tolist()) for x in np.split(h, np.cumsum(n)[:-1])]
+    want = [plain_shingles(t) for t in texts_]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    assert all(len(a & b) == len(c & d) for a, c in zip(sets, want, strict=True) for b, d in zip(sets, want, strict=True))
+    fp = near_copies.wide_fingerprints(h, n)
+    assert fp.shape == (6, 4) and len(np.unique(fp)) == 24
+    assert near_copies.wide_fingerprints(*near_copies.shingle_sets(["", None])).shape == (0, 4)
 
 
 def test_forest():
@@ -151,37 +185,41 @@ def test_forest():
 
 
 def plain_walk(counts, nodes, capacity):
-    """One key at a time, in lockstep rounds."""
-    starts = [s for s, _ in nodes]
-    waiting = [[] for _ in nodes]
-    for segment in sorted(counts):
-        i = next((j for j, s in enumerate(starts) if s >= segment), 0)
-        waiting[i] += [(segment, r) for r in range(counts[segment])]
-    used, out = [0] * len(capacity), {}
-    while any(waiting):
-        passed = [[] for _ in nodes]
-        for i, (_, shard) in enumerate(nodes):
-            for key in waiting[i]:
-                if used[shard] < capacity[shard]:
-                    out[key] = (shard, used[shard])
-                    used[shard] += 1
-                else:
-                    passed[(i + 1) % len(nodes)].append(key)
-        waiting = passed
+    """One key at a time: own keys first, then what is left goes around in a queue."""
+    used, out, left = [0] * len(capacity), {}, defaultdict(list)
+
+    def put(key, shard):
+        out[key] = (shard, used[shard])
+        used[shard] += 1
+
+    for i, (_, shard) in enumerate(nodes):
+        for r in range(counts.get(i, 0)):
+            if used[shard] < capacity[shard]:
+                put((i, r), shard)
+            else:
+                left[i].append((i, r))
+    queue = []
+    for i, (_, shard) in [*enumerate(nodes)] * 2:
+        while queue and used[shard] < capacity[shard]:
+            put(queue.pop(0), shard)
+        queue += left.pop(i, [])
     return out
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_bounded_walk(seed):
-    rng = random.Random(seed)
-    counts = {s: rng.choice([0, 1, 7, 30]) for s in range(32)}
+@pytest.mark.parametrize("shards", [1, 5, 24, 300, 2000])
+def test_bounded_walk(shards):
+    rng = random.Random(shards)
+    nodes = sharding.ring_nodes(shards, 4 if shards < 10 else 64)
+    assert {s for _, s in nodes} == set(range(shards)) and nodes == sorted(nodes) and len(nodes) == shards * (4 if shards < 10 else 64)
+    counts = {i: rng.choice([0, 1, 7, 30]) for i in range(0, len(nodes), 1 if shards < 10 else 9)}
     total = sum(counts.values())
-    nodes = sharding.ring_nodes(5, 4, 32)
-    shards = sorted({s for _, s in nodes})
-    capacity = [total // len(shards) + 1 if s in shards else 0 for s in range(5)]
-    got = {(seg, r): (shard, slot + r - a) for seg, a, e, shard, slot in sharding.bounded_walk(counts, nodes, capacity) for r in range(a, e)}
-    assert got == plain_walk(counts, nodes, capacity)
+    capacity = [total // shards + (s < total % shards) for s in range(shards)]
+    placed = sharding.bounded_walk(counts, nodes, capacity)
+    got = {(node, r): (shard, slot + r - a) for node, a, e, shard, slot in placed for r in range(a, e)}
+    assert got == plain_walk(counts, nodes, capacity) and len(got) == total
     assert sharding.bounded_walk({}, nodes, capacity) == []
+    with pytest.raises(ValueError):
+        sharding.bounded_walk({0: total + 1}, nodes, capacity)
 
 
 def test_word_hashes_and_shapes():
@@ -199,20 +237,29 @@ def test_word_hashes_and_shapes():
 
 
 def test_contexts_stay_within_documents():
-    index, total = quality.index_vectors(), np.zeros((quality.ENTRIES, quality.DIM), np.int64)
+    index, total = quality.index_vectors(), np.zeros((quality.ENTRIES, quality.DIM + 1), np.int64)
     docs = ["a b c", None, "d", "b a"]
-    quality.add_contexts(quality.Entries(docs), index, total)
+    quality.add_contexts(*quality.entries(docs), index, total)
     want = np.zeros_like(total)
     for d in docs:
-        x = quality.Entries([d])
-        n = len(x.word)
-        for i in range(n):
-            for j in range(max(0, i - 2), min(n, i + 3)):
+        x = quality.entries([d])[0]
+        for i in range(len(x)):
+            want[x[i], -1] += 1
+            for j in range(max(0, i - 2), min(len(x), i + 3)):
                 if j != i:
-                    v = index[x.word[j]].astype(int) + index[x.shape[j]]
-                    want[x.word[i]] += v
-                    want[x.shape[i]] += v
+                    want[x[i], :-1] += index[x[j]]
     assert (total == want).all() and total.any()
+    v = quality.centred(total)
+    assert np.allclose((v * v).sum(1)[total[:, :-1].any(1)], 1, atol=1e-5) and not v[~total[:, :-1].any(1)].any()
+
+
+def test_features_are_pooled_word_vectors():
+    v = np.random.default_rng(0).normal(size=(quality.ENTRIES, quality.DIM)).astype(np.float32)
+    x = quality.features(["a b b", None, "c"], v)
+    a, b, c = (v[quality.entries([w])[0][0]].astype(float) for w in "abc")
+    own = np.stack([a, b, b])
+    assert np.allclose(x[0], np.concatenate([own.mean(0), own.std(0), (a * b + b * b) / 3, [np.log(4) / 10]]), atol=1e-5)
+    assert not x[1].any() and np.allclose(x[2, : quality.DIM], c) and np.allclose(x[2, quality.DIM : -1], 0, atol=1e-3)
 
 
 def test_network_learns_and_is_calibrated():
@@ -309,3 +356,27 @@ def test_wrappers_and_attribute_values_are_no_boilerplate(wrapper):
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<b>", "<", ">", "&", "text, ", '"', "<!--", "-->", "<script>", "</script>", "<a href=\"x", "<br/>", "<li>", "é"]), max_size=40))
 def test_any_markup_is_read(parts):
     html_text.main_text(html_text.blocks("".join(parts)), None)
+
+
+LONG_TEXT = "long, text " * 20
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='layout-sidebar-left'><p>{LONG_TEXT}</p></div>",
+        f"<div class='site header-fixed'><p>{LONG_TEXT}</p></div>",
+        f"<div id=search-results><p>{LONG_TEXT}</p></div><p>short</p>",
+        f"<article><p>{LONG_TEXT}</p><p class='share-worthy'>keep one</p><p class=ad-hoc>keep two</p></article>",
+        "<article><p>keep one</p><svg><path d=1><p>keep two</p></article>",
+        f"<form><h1>keep one</h1><p>{LONG_TEXT}</p></form>",
+        f"<form><article><h1>keep one</h1><p>{LONG_TEXT}</p></article><form>DROP</form></form>",
+        f"<article><p>{LONG_TEXT}</p><iframe src=x><p>keep one</p></article>",
+        f"<article><object>DROP<object>DROP</object>DROP</object><p>keep one {LONG_TEXT}</p></article>",
+        f"<article><svg width=1><text>DROP</text></svg><p>{LONG_TEXT}</p><select><option>DROP<option>DROP</select> keep one <form>DROP</form></article>",
+        f"<div class=entry><p>{LONG_TEXT}</p><div class=related-posts><p>DROP, it</p></div><div class=comments><p>{'DROP, all ' * 90}</p></div></div>",
+    ],
+)
+def test_what_is_the_article(page):
+    text = html_text.main_text(html_text.blocks(page), None)
+    assert "DROP" not in text and text.count("keep") == page.count("keep") and ("long" in text) == ("long" in page)

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from depscope.llm import near_copies, simhash
+from depscope.llm import near_copies
 from depscope.llm.common import written
 from depscope.llm.forest import Forest
 from depscope.llm.queries import oracle_sql, queries
@@ -59,8 +59,8 @@ def test_pipeline(spark, sf_dir):
         if name in ("exact_dedup", "simhash_dedup"):
             assert len({r["doc_id"] for r in rows}) == len(rows)
         if name == "simhash_dedup":
-            fp = [simhash.fingerprint(r["text"]) for r in rows]
-            assert all((a ^ b).bit_count() > 3 for i, a in enumerate(fp) for b in fp[:i])
+            sets = [plain_shingles(r["text"]) for r in rows]
+            assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a | b)
         if name == "mixing":
             assert max(Counter(r["doc_id"] for r in rows).values()) <= 2
         if name != "bpe":
@@ -70,7 +70,13 @@ def test_pipeline(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "mixing", "bpe"] and corpus_pipeline.ORACLE_SQL is None
 
 
-def test_near_copies_against_brute_force(spark):
+def plain_shingles(text, words=5):
+    parts = (text or "").lower().split()
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+@pytest.mark.parametrize("chunk_rows", [2048, 7])
+def test_near_copies_against_brute_force(spark, chunk_rows):
     rng = random.Random(11)
     words, texts = [f"w{i}" for i in range(400)], {}
     line = " ".join(rng.choices(words, k=12))
@@ -80,19 +86,24 @@ def test_near_copies_against_brute_force(spark):
             texts[i * 5 + j] = " ".join(t) + (f" {line}" if i % 2 else "")
             for _ in range(1 + len(t) // 90):
                 t[rng.randrange(len(t))] = f"z{i}{j}"
+    base = rng.choices(words, k=90)
+    for i in range(120):  # one dense group, with members that are a little too far away
+        t = list(base)
+        for _ in range(1 + i % 4):
+            t[rng.randrange(len(t))] = f"y{i}"
+        texts[400 + i] = " ".join(t)
     texts[1000], texts[1001], texts[None] = "", None, texts[100]
-    sets = {i: set(near_copies.shingle_set(t).tolist()) for i, t in texts.items()}
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
     order = sorted(texts, key=lambda i: near_copies.NO_ID if i is None else i)
     alike = [(x, y) for x, i in enumerate(order) for y, k in enumerate(order[:x]) if sets[i] and len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
     f = Forest(len(order))
     f.add(*np.array(alike).T)
     want = {order[r] for r in f.root.tolist()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    kept = [r["doc_id"] for r in near_copies.drop_near_copies(df).collect()]
-    assert set(kept) == want and len(kept) == len(want) and 20 < len(alike)
-    # Most of these links are too far apart for fingerprints, and the stage finds them.
-    fp = {i: simhash.fingerprint(texts[i]) for i in order}
-    assert any((fp[order[x]] ^ fp[order[y]]).bit_count() > 3 for x, y in alike)
+    found = {r["id"]: r["component_id"] for r in near_copies.near_copy_components(df, chunk_rows=chunk_rows, leaf_rows=50).collect()}
+    assert found == {i: order[r] for i, r in zip(order, f.root.tolist(), strict=True)} and 20 < len(alike)
+    kept = [r["doc_id"] for r in near_copies.drop_near_copies(df, chunk_rows=chunk_rows).collect()]
+    assert set(kept) == want and len(kept) == len(want)
     left = [sets[r["doc_id"]] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
     assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(left) for b in left[:i] if a | b)
 
