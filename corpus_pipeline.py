@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depscope.llm import bpe, exact_dedup, mixing, near_copies, simhash, toxicity
+from depscope.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 from depscope.llm.common import table, written
 
 
@@ -25,15 +25,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of documents that fingerprints connect, and then of each
-    group that similarities of five-word shingles (Jaccard, 0.8 or more) connect."""
-    docs = written(simhash.drop_near_duplicates(docs, words=3, radius=3))
+    """Keep the smallest doc_id of each group of documents that similarities of five-word shingles (Jaccard,
+    0.8 or more) connect, among those that SimHash fingerprints make candidates."""
     return near_copies.drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents none, one or two times, so that sources meet their targets."""
-    return mixing.repeat_rows(mixing.mix(docs), docs.columns)
+    return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
