@@ -19,13 +19,21 @@ from depscope.functions.special import lgamma
 
 #: Terms of a pair are summed in pieces of so many, as rows of their own.
 PIECE = 4096
+#: Shares of one dependency's pairs.
+SHARES = 64
 
 
 def expected_mi(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -> DataFrame:
     """(fd_id, expected_mi) in bits from ``count_histograms`` and (fd_id, n)."""
     hx = hist.filter("side = 'x'").select("fd_id", F.col("count").alias("a"), F.col("weight").alias("wa"))
     hy = hist.filter("side = 'y'").select("fd_id", F.col("count").alias("b"), F.col("weight").alias("wb"))
-    pairs = hx.join(hy, "fd_id").join(F.broadcast(n.select("fd_id", "n")), "fd_id")
+    # Histograms are few bytes and their pairs many rows: counts of X are dealt to a number of tasks that is not reduced
+    # for lack of bytes, and those of Y go to every share of their dependency.
+    tasks = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = min(tasks, SHARES)
+    hx = hx.withColumn("share", F.pmod(F.xxhash64("a"), F.lit(shares)).cast("int")).repartition(tasks, "fd_id", "share")
+    hy = hy.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(tasks, "fd_id", "share")
+    pairs = hx.join(hy, ["fd_id", "share"]).join(F.broadcast(n.select("fd_id", "n")), "fd_id")
     a, b, rows = (F.col(x).cast("double") for x in ("a", "b", "n"))
     mean = a * b / rows
     sd = F.sqrt(mean * (1 - a / rows) * (1 - b / rows) * rows / F.greatest(rows - 1, F.lit(1.0)))
@@ -35,7 +43,6 @@ def expected_mi(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -
     few = F.col("hi") - F.col("lo") < most_terms
     pieces = pairs.filter(few).withColumn("from", F.explode(F.sequence("lo", "hi", F.lit(PIECE).cast("long"))))
     # Few bytes, much work: dealt evenly, to a number of tasks that is not reduced for lack of bytes.
-    tasks = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = pieces.repartition(tasks, "fd_id", "a", "b", "from")
     lg = lambda x: lgamma(x.cast("double") + 1)
     fixed = lg(F.col("a")) + lg(F.col("b")) + lg(F.col("n") - F.col("a")) + lg(F.col("n") - F.col("b")) - lg(F.col("n"))

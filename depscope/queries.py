@@ -6,6 +6,8 @@ return a row, or rows, for each.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -199,7 +201,7 @@ def fd_batch_all_measures(spark, sf_dir):
     return _rounded(scored(spark, sf_dir, plans.ALL_MEASURES).select("fd_id", "n", "dom_x", "is_key", *MEASURE_SQL, *EXPECTED_SQL))
 
 
-PART_COLUMNS = ("p_brand", "p_type", "p_size")
+PART_COLUMNS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 _PAIRS = [(a, b) for a in PART_COLUMNS for b in PART_COLUMNS if a != b]
 _PAIR_ROWS = " UNION ALL ".join(f"SELECT '{a} -> {b}' AS fd_id, CAST({a} AS VARCHAR) AS x, CAST({b} AS VARCHAR) AS y FROM part" for a, b in _PAIRS)
 
@@ -333,9 +335,12 @@ def sample_fixed(spark, sf_dir):
 _EVENT_COLUMNS = ("user_id", "event_type", "props")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values, CAST(count(*) - count({c}) AS BIGINT) AS nulls, CAST(count(*) AS BIGINT) AS rows FROM events" for c in _EVENT_COLUMNS))
+_ALL_EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values, CAST(count(*) - count({c}) AS BIGINT) AS nulls, CAST(count(*) AS BIGINT) AS rows FROM events" for c in _ALL_EVENT_COLUMNS))
 def distinct_profile(spark, sf_dir):
-    return profile.distinct_profile(table(spark, sf_dir, "events"), _EVENT_COLUMNS)
+    return profile.distinct_profile(table(spark, sf_dir, "events"), _ALL_EVENT_COLUMNS)
 
 
 @query(" UNION ALL ".join(f"""SELECT * FROM (WITH v AS (SELECT CAST({c} AS VARCHAR) AS v, CAST(count(*) AS BIGINT) AS c FROM events GROUP BY 1), o AS (SELECT v, c, row_number() OVER (ORDER BY c DESC, v) AS i FROM v WHERE v IS NOT NULL)
@@ -344,9 +349,12 @@ def column_summary(spark, sf_dir):
     return profile.column_summary(table(spark, sf_dir, "events"), _EVENT_COLUMNS)
 
 
-@query()
+@query("SELECT CAST(count(*) AS BIGINT) AS pairs, TRUE AS close FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
 def approx_distinct(spark, sf_dir):
-    return profile.approx_distinct(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
+    """The sketch beside the exact number: within three times its standard error."""
+    lines, columns = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"]
+    both = lines.agg(F.countDistinct(*columns).alias("pairs")).join(F.broadcast(profile.approx_distinct(lines, columns)))
+    return both.select("pairs", (F.abs(F.col("approx_distinct") - F.col("pairs")) <= 3 * profile.RSD_14 * F.col("pairs")).alias("close"))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY c DESC) AS BIGINT) AS rank, CAST(c AS BIGINT) AS frequency FROM (SELECT count(*) AS c FROM events GROUP BY user_id)")
@@ -439,10 +447,66 @@ def generate_syn(spark, sf_dir):
     return generator.generate_syn(spark, s, seed=11)
 
 
-@query()
+@query("SELECT * FROM (VALUES ('10000/3000/3000', 0.0000353570978), ('60000/12000/12000', 0.0000076951432)) AS t(fd_id, expected_mi)".replace("SELECT *", "SELECT fd_id, CAST(expected_mi AS DOUBLE) * 1e6 AS micro_bits"))
 def expected_mi_large_groups(spark, sf_dir):
-    """Pairs whose direct recurrence underflows: the value has to be positive."""
+    """Pairs whose direct recurrence underflows."""
     cases = [("10000/3000/3000", 10_000, 3_000, 3_000), ("60000/12000/12000", 60_000, 12_000, 12_000)]
     hist = spark.createDataFrame([(i, side, c, 1) for i, _, a, b in cases for side, c in (("x", a), ("y", b))], "fd_id string, side string, count long, weight long")
     n = spark.createDataFrame([(i, n) for i, n, _, _ in cases], "fd_id string, n long")
-    return information.expected_mi(hist, n)
+    return information.expected_mi(hist, n).select("fd_id", (F.round("expected_mi", 13) * 1e6).alias("micro_bits"))
+
+
+# --- files: what is written is read back ----------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A new folder in the storage that driver and executors share; only in one process may it be a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="depscope-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_NOTE = "c_name || chr(10) || '\"' || c_mktsegment || '\", ' || c_nationkey"
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {_NOTE} AS note, '' AS empty, c_mktsegment FROM customer")
+def csv_text_round_trip(spark, sf_dir):
+    """Quoted line breaks, quotes, separators and empty fields."""
+    path = _folder(spark)
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", '), F.col("c_nationkey").cast("string"))
+    sinks.write_csv(table(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), F.lit("").alias("empty"), "c_mktsegment"), path)
+    return readers.read_csv_text(spark, path)
+
+
+@query("SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_retailprice, p_size > 25 AS large, CASE WHEN p_size % 7 > 0 THEN p_brand END AS brand FROM part")
+def csv_typed_round_trip(spark, sf_dir):
+    """Types from values: whole numbers, fractions, truth values, texts with missing values."""
+    path = _folder(spark)
+    part = table(spark, sf_dir, "part")
+    brand = F.when(F.col("p_size") % 7 > 0, F.col("p_brand")).otherwise("NA")
+    sinks.write_csv(part.select("p_partkey", "p_name", "p_size", "p_retailprice", (F.col("p_size") > 25).alias("large"), brand.alias("brand")), path)
+    return readers.read_csv_typed(spark, path)
+
+
+@query(" UNION ALL ".join(f"SELECT '{'|'.join(lhs)}' AS lhs, '{rhs}' AS rhs" for _, lhs, rhs in DEPENDENCIES))
+def fd_file_round_trip(spark, sf_dir):
+    """Dependency lines between comments and lines that are none."""
+    path = _folder(spark)
+    lines = ["# dependencies", "", "not one"] + [f"([{', '.join(chr(34) + c + chr(34) for c in lhs)}], {chr(34)}{rhs}{chr(34)})" for _, lhs, rhs in DEPENDENCIES]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    return readers.fd_lines(spark.read.text(path)).select(F.array_join("lhs", "|").alias("lhs"), "rhs")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS row_id FROM orders WHERE o_orderkey % 3 = 0")
+def violation_list_rows(spark, sf_dir):
+    """Row numbers out of texts such as 3,17, one text for each customer."""
+    some = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.array_join(F.collect_list(F.col("o_orderkey").cast("string")), ",").alias("listed"))
+    return readers.violation_rows(some, "listed").select(F.col("row_id").cast("long").alias("row_id"))
+
+
+@query(f"""{CTE} SELECT 'RESULT_JSON: {{"fd_id":"' || fd_id || '","n":' || CAST(CAST(n AS BIGINT) AS VARCHAR) || ',"dom_x":' || CAST(CAST(d AS BIGINT) AS VARCHAR) || '}}' AS value FROM t""")
+def json_lines_out(spark, sf_dir):
+    return sinks.json_rows(scored(spark, sf_dir, ["g1"]).select("fd_id", "n", "dom_x"))

@@ -10,14 +10,19 @@ from depscope.functions.parsing import row_list, value_kind
 from depscope.spec import FDSpec
 
 
-def read_csv_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, sep: str = ",", *, quoted_newlines: bool = True) -> DataFrame:
     """All columns as text. An empty field is an empty text; a field missing from a short row is null;
-    fields beyond the header are dropped."""
+    fields beyond the header are dropped. Quotes are doubled inside quotes.
+
+    With ``quoted_newlines`` a field in quotes may hold line breaks, and a task reads whole files; without, large files
+    are split among tasks.
+    """
     # As text, since a header read as a row keeps its quotes' meaning and needs no inference.
-    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    reader = lambda: spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", quoted_newlines)
+    header = reader().csv(path).columns
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in header], T.StructField("__bad", T.StringType())])
     # The columns are filled by position, and a row of another length is kept whole beside them.
-    df = spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", True).option("columnNameOfCorruptRecord", "__bad").csv(path)
+    df = reader().schema(schema).option("enforceSchema", True).option("columnNameOfCorruptRecord", "__bad").csv(path)
     # Which fields a short row has shows in its number of separators outside quotes.
     outside = F.regexp_replace(F.col("__bad"), '"(?:[^"]|"")*"', "")
     fields = F.size(F.split(outside, "\\Q" + sep + "\\E", -1))
@@ -25,11 +30,11 @@ def read_csv_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.select(*[F.when(F.col(f"`{c}`").isNull() & present(i), F.lit("")).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(header)])
 
 
-def read_csv_typed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str, sep: str = ",", *, quoted_newlines: bool = True) -> DataFrame:
     """Column types from the values; empty and missing fields and the usual marks of missing values are null."""
     # Texts that stand for a missing value.
     marks = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-    text = read_csv_text(spark, path, sep)
+    text = read_csv_text(spark, path, sep, quoted_newlines=quoted_newlines)
     clean = text.select(*[F.when(~F.col(f"`{c}`").isin(marks), F.col(f"`{c}`")).alias(c) for c in text.columns])
     kinds = clean.agg(*[F.collect_set(F.when(F.col(f"`{c}`").isNotNull(), value_kind(F.col(f"`{c}`")))).alias(c) for c in clean.columns]).first() if clean.columns else []
     cast = {frozenset(["int"]): "long", frozenset(["float"]): "double", frozenset(["int", "float"]): "double", frozenset(["bool"]): "boolean"}

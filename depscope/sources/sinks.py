@@ -42,8 +42,8 @@ def flat_results(results: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A folder of CSV files with a header; ``ignore`` keeps what is there."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """A folder of CSV files with a header, quotes doubled inside quotes; ``ignore`` keeps what is there."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -19,6 +19,12 @@ def test_ragged_csv(spark, tmp_path):
     assert rows == [("1", "", "3"), ("4", "5", None), ("7", "8", "9"), ("x, y", "z", None)]
 
 
+def test_csv_with_quoted_newlines(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b,c\n"x\ny",1,"say ""hi"", you"\n"p\n,q",2\n3,,\n')
+    rows = [tuple(r) for r in readers.read_csv_text(spark, str(tmp_path / "t.csv")).collect()]
+    assert rows == [("x\ny", "1", 'say "hi", you'), ("p\n,q", "2", None), ("3", "", "")]
+
+
 def test_typed_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("i,f,b,s,m\n1,1,true,x,NA\n2,2.5,False,7,\n,nan,true,z,3\n")
     df = readers.read_csv_typed(spark, str(tmp_path / "t.csv"))
