@@ -416,7 +416,8 @@ def consensus_paths(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     votes = rows.mapInArrow(_votes, "host string, path string, share double")
     # Rounded, so that sums do not depend on their order.
     won = F.sum((F.col("share") == 1.0).cast("long"))
-    sums = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"), won.alias("won"), F.count(F.lit(1)).alias("pages"))
+    # Written, as both kinds of winners come from it and pages are to be read once.
+    sums = written(votes.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"), won.alias("won"), F.count(F.lit(1)).alias("pages")))
     best = F.max(F.struct("votes", "path")).alias("best")
     # Spark limits each task's rows of a host before the shuffle, as it combines the maximum.
     steady = (F.col("won") >= 2) & (F.col("won") * 2 >= F.col("pages"))
