@@ -1,7 +1,9 @@
 """From raw documents to token ids: five stages, each one of the corpus operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the docs of the next one. All but the last return the columns of documents.
+read again as the docs of the next one. All but the last return the columns of documents, with the values
+that came in, whatever their names. Texts are read whole. Null ids, texts and sources, repeated ids and empty tables are
+allowed in every stage; what becomes of them is stated with each.
 """
 
 from __future__ import annotations
@@ -14,29 +16,34 @@ from depscope.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn toxicity from the labels and drop documents with a probability of 0.5 or more."""
+    """Learn toxicity from the labels and drop documents with a probability of 0.5 or more.
+
+    Null and empty texts stay, since nothing in them is toxic; without labels of both kinds the probability is a
+    constant: 0.5, or the label that there is."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model, threshold=0.5)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each text."""
+    """Keep the smallest doc_id of each text. Null is the empty text; a null doc_id stays only in a text without others; an id
+    that stays does so once."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of documents that similarities of five-word shingles (Jaccard,
-    0.8 or more) connect, among those that SimHash fingerprints make candidates."""
+    0.8 or more) connect, among those that SimHash fingerprints make candidates. Texts without words stay."""
     return near_copies.drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents none, one or two times, so that sources meet their targets."""
+    """Take documents none, one or two times, so that sources meet their targets. A null source is one; texts without words
+    count nothing and stay once if their source has no others."""
     return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, with digests of the ids and of the text decoded from them."""
+    """Token ids of every row, with digests of the ids and of the text decoded from them. Null is the empty text."""
     import public_tokenizers
 
     out = bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
