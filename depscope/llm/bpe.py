@@ -174,7 +174,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col:
 
     ids: little-endian unsigned 32-bit integers as binary. decoded: the bytes that these ids
     stand for. Null text counts as empty: no ids, no bytes. Ids of rows are passed through,
-    null or repeated. The vocabulary (its size does not depend on the data) is broadcast.
+    null or repeated; equal texts have equal ids. Texts are read whole: long ones are split piece by piece. Other columns are
+    not read. An empty table gives no rows. The vocabulary (its size does not depend on the data) is broadcast.
     """
     spark = docs.sparkSession
     ship(spark)

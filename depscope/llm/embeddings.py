@@ -159,7 +159,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     reachable. Equal vectors are linked and meet the others as one. A vector that is null, empty
     or zero, or has a null or non-finite component, links with nothing, and vectors of different
     lengths do not link. Ids are whole numbers; a null id has its row, links like others, and is never the
-    smallest unless alone. ``sample``: so many vectors go to the driver to choose pivots from.
+    smallest unless alone. Other columns are not read. An empty table gives no rows. ``sample``: so many vectors go to the driver to choose pivots from.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))

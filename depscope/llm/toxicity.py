@@ -190,7 +190,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     offending: the sentences that are toxic by themselves, as start and end in code points and
     probability. Null text counts as empty; a text without telling features has
-    the lowest score, that of the bias. Rows that repeat an id are scored each for itself.
+    the lowest score, that of the bias. Texts are read whole, however long. Rows that repeat an id are scored each for
+    itself; equal texts have equal scores. Other columns are not read. An empty table gives no rows.
     """
     out = _scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model)
     return out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
