@@ -118,18 +118,35 @@ def generate_clean(spark: SparkSession, s: GeneratorSettings, seed: int = 1) ->
     return rows.select("row_id", *digits, _draw(F.col("number"), s.rhs_cardinality, s, "rhs", seed + 1).cast("int").alias("rhs"))
 
 
-def noise_sites(df: DataFrame, s: GeneratorSettings, seed: int = 1) -> DataFrame:
-    """(row_id, order): exactly int(noise * tuples) rows, at most half of any group, uniform among such rows.
+def _numbered(rows: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
+    """``rows`` with nth (from 1, by order and row_id, within the keys) and total (rows of the keys).
+
+    Ranks are counted in buckets of the order, which is a hash and so evenly spread: rows are sorted within
+    (keys, bucket) only, and over whole groups, or the whole table if there are no keys, only counts of buckets are summed.
+    """
+    rows = rows.withColumn("__bucket", F.floor(F.col(order) * buckets))
+    place = [*keys, "__bucket"]
+    by_bucket = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_bucket.select(*[F.col(c).alias(f"__of_{c}") for c in place], F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("__before"), F.sum("c").over(whole).alias("total"))
+    inner = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*place).orderBy(order, "row_id")))
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in place]
+    return inner.join(starts, same).select(*[c for c in rows.columns if c != "__bucket"], (F.col("__before") + F.col("__nth")).alias("nth"), "total")
+
+
+def noise_sites(df: DataFrame, s: GeneratorSettings, seed: int = 1, *, bucket_rows: int = 1 << 20) -> DataFrame:
+    """(row_id, nth): exactly int(noise * tuples) rows, at most half of any group, uniform among such rows.
 
     In each group, half of its rows by a hash are open to noise; of all these, those first by another
-    hash are taken.
+    hash are taken. No task sorts more than about ``bucket_rows`` rows of a group.
     """
     k = int(s.noise * s.tuples)
-    order = uniform(seed, F.lit("place"), F.col("row_id"))
-    group = Window.partitionBy(*s.lhs_columns)
-    ranked = df.withColumn("__rank", F.row_number().over(group.orderBy(order, "row_id"))).withColumn("__size", F.count(F.lit(1)).over(group))
-    open_rows = ranked.filter(F.col("__rank") <= F.floor(F.col("__size") / 2)).select("row_id", uniform(seed, F.lit("site"), F.col("row_id")).alias("order"))
-    return open_rows.orderBy("order", "row_id").limit(k)
+    buckets = max(1, -(-s.tuples // bucket_rows))
+    rows = df.select("row_id", *s.lhs_columns, uniform(seed, F.lit("place"), F.col("row_id")).alias("__place"))
+    open_rows = _numbered(rows, s.lhs_columns, "__place", buckets).filter(F.col("nth") <= F.floor(F.col("total") / 2))
+    sites = open_rows.select("row_id", uniform(seed, F.lit("site"), F.col("row_id")).alias("__site"))
+    return _numbered(sites, [], "__site", buckets).filter(F.col("nth") <= k).select("row_id", "nth")
 
 
 def add_noise(df: DataFrame, s: GeneratorSettings, seed: int = 1, typos: int = 3) -> DataFrame:
@@ -149,8 +166,8 @@ def add_noise(df: DataFrame, s: GeneratorSettings, seed: int = 1, typos: int = 3
     sites = noise_sites(df, s, seed)
     if s.n_type == "bogus":
         top = df.agg(F.max("rhs").alias("__top"))
-        fresh = sites.withColumn("__nth", F.row_number().over(Window.orderBy("order", "row_id"))).join(F.broadcast(top))
-        changed = fresh.select(F.col("row_id").alias("__id"), (F.col("__top") + F.col("__nth")).cast("int").alias("__new"))
+        fresh = sites.join(F.broadcast(top))
+        changed = fresh.select(F.col("row_id").alias("__id"), (F.col("__top") + F.col("nth")).cast("int").alias("__new"))
     elif s.n_type == "typo":
         extra = F.pmod(F.xxhash64(F.lit(seed), F.lit("typo"), F.col("row_id")), F.lit(typos)) + s.rhs_cardinality
         changed = sites.join(df.select("row_id", "rhs"), "row_id").select(F.col("row_id").alias("__id"), F.concat(F.col("rhs").cast("string"), extra.cast("string")).alias("__new"))

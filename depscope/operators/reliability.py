@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from depscope.functions.special import chi2_sf
 from depscope.operators import counts
-from depscope.operators.violations import flag_violations, given_violations
+from depscope.operators.violations import flag_violations, given_violations, violation_totals
 from depscope.spec import FDSpec
 
 
@@ -103,6 +103,7 @@ def reliability(df: DataFrame, fd: FDSpec, config: ReliabilityConfig = Reliabili
     fd.check(df)
     if config.dirty_data:
         flagged = flag_violations(df, fd)
+        total = violation_totals(df, fd)
         score = stability_by_majority(df, fd).select(F.col("score"), F.col("score").alias("fused"))
     else:
         if given is None or id_col is None:
@@ -110,7 +111,7 @@ def reliability(df: DataFrame, fd: FDSpec, config: ReliabilityConfig = Reliabili
         flagged = given_violations(df, given, id_col)
         fused = stability_by_majority(df, fd).select(F.col("score").alias("fused"))
         score = stability_by_first_value(flagged, fd, id_col).join(F.broadcast(fused))
-    total = flagged.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("is_violation").cast("long")), F.lit(0)).alias("violations"))
+        total = flagged.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("is_violation").cast("long")), F.lit(0)).alias("violations"))
     rate = F.when(F.col("n") > 0, F.col("violations") / F.col("n")).otherwise(0.0)
     out = total.join(F.broadcast(score))
     if config.use_independence_test:

@@ -9,30 +9,54 @@ from depscope.operators import counts
 from depscope.spec import FDSpec
 
 
+def _groups(df: DataFrame, fd: FDSpec) -> DataFrame:
+    return counts.x_counts(counts.xy_counts(counts.project(df, [fd])))
+
+
 def majorities(df: DataFrame, fd: FDSpec) -> DataFrame:
     """(x, majority_y, majority_count) for every X without null that has a non-null Y.
 
     The majority is the most frequent Y, on a tie the one whose text comes first by bytes.
     """
-    x = counts.x_counts(counts.xy_counts(counts.project(df, [fd])))
+    x = _groups(df, fd)
     x = x.filter(~counts.x_is_null(x) & F.col("majority").isNotNull())
     return x.select("x", F.col("majority.y").alias("majority_y"), F.col("majority.c").alias("majority_count"))
 
 
-def flag_violations(df: DataFrame, fd: FDSpec) -> DataFrame:
+def violation_totals(df: DataFrame, fd: FDSpec) -> DataFrame:
+    """One row (n, violations): rows and those that ``flag_violations`` would mark, from the groups alone."""
+    fd.check(df)
+    x = _groups(df, fd)
+    own = F.when(~counts.x_is_null(x) & F.col("majority").isNotNull(), F.col("a") - F.col("majority.c"))
+    return x.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n"), F.coalesce(F.sum(own), F.lit(0)).alias("violations"))
+
+
+def flag_violations(df: DataFrame, fd: FDSpec, *, hot_groups: int = 1000) -> DataFrame:
     """``df`` with the column is_violation.
 
     A row violates the dependency if its X has no null, its group has a majority, and its Y is
-    another value or null. Every row finds its group's majority by a join on X; large groups
-    are split by adaptive execution, and nothing but (X, majority) is on the other side.
+    another value or null. Groups with one row in ``hot_groups`` or more, of which there are at most
+    ``hot_groups``, are broadcast: their rows, and those with a null in X, stay where they are. Only rows of
+    other groups are shuffled by X, so that no task gets a large group.
     """
     fd.check(df)
     x = F.struct(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(fd.lhs)])
-    found = majorities(df, fd).select(F.col("x").alias("__x"), "majority_y")
-    rows = df.drop("is_violation").withColumn("__own_x", x)
-    joined = rows.join(found, rows["__own_x"] == found["__x"], "left")
-    violates = F.col("majority_y").isNotNull() & ~F.col(f"`{fd.rhs}`").cast("string").eqNullSafe(F.col("majority_y"))
-    return joined.select(*[rows[c] for c in df.columns if c != "is_violation"], violates.alias("is_violation"))
+    x_null = F.lit(False)
+    for c in fd.lhs:
+        x_null = x_null | F.col(f"`{c}`").isNull()
+    groups = _groups(df, fd)
+    groups = groups.filter(~counts.x_is_null(groups) & F.col("majority").isNotNull())
+    groups = groups.join(F.broadcast(groups.agg(F.sum("a").alias("total"))))
+    groups = groups.select(F.col("x").alias("__x"), F.col("majority.y").alias("__majority"), (F.col("a") * hot_groups >= F.col("total")).alias("__is_hot"))
+    keep = [f"`{c}`" for c in df.columns if c != "is_violation"]
+    rows = df.select(*keep, F.when(~x_null, x).alias("__own"), F.col(f"`{fd.rhs}`").cast("string").alias("__y"))
+    hot = groups.filter("__is_hot").select("__x", "__majority")
+    near = rows.join(F.broadcast(hot), F.col("__own") == F.col("__x"), "left")
+    settled = near.filter(F.col("__x").isNotNull() | F.col("__own").isNull())
+    others = near.filter(F.col("__x").isNull() & F.col("__own").isNotNull()).select(*keep, "__own", "__y")
+    others = others.join(groups.filter("not __is_hot").select("__x", "__majority"), F.col("__own") == F.col("__x"), "left")
+    violates = F.col("__majority").isNotNull() & ~F.col("__y").eqNullSafe(F.col("__majority"))
+    return settled.unionByName(others).select(*keep, violates.alias("is_violation"))
 
 
 def given_violations(df: DataFrame, row_ids: DataFrame, id_col: str) -> DataFrame:

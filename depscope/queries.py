@@ -73,6 +73,12 @@ def _xy(df: DataFrame, fds: list[FDSpec]) -> DataFrame:
     return out.select("fd_id", F.array_join(x, "|").alias("x"), F.col("y").cast("string").alias("y"), "c")
 
 
+def _texts(df: DataFrame) -> DataFrame:
+    """Columns whose texts differ between engines as texts that do not: times to the microsecond, fractions to two digits."""
+    how = {"timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "double": lambda c: F.round(F.col(c) * 100).cast("long")}
+    return df.select(*[how.get(t, F.col)(c).alias(c) for c, t in df.dtypes])
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     """Measures to six digits, without negative zeros."""
     return df.select(*[(F.round(c, DIGITS) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -252,18 +258,23 @@ def fd_given_violations(spark, sf_dir):
     return violations.given_violations(events, given, "event_id").select("event_id", "is_violation")
 
 
-_CHI_COLUMNS = ("o_orderstatus", "o_totalprice", "o_orderdate")
-_CHI = f"""WITH {_flags_sql('orders', 'o_custkey', 'o_orderpriority')},
-l AS ({' UNION ALL '.join(f"SELECT {i} AS ordinal, '{c}' AS col, CAST({c} AS VARCHAR) AS value, v FROM f" for i, c in enumerate(_CHI_COLUMNS))}),
+def _rest_sql(columns: Sequence[str]) -> str:
+    """The chi-square statistics of rows f with a violation mark v, by column."""
+    return f"""l AS ({' UNION ALL '.join(f"SELECT {i} AS ordinal, '{c}' AS col, CAST({c} AS VARCHAR) AS value, v FROM f" for i, c in enumerate(columns))}),
 g AS (SELECT ordinal, col, value, CAST(sum(v) AS DOUBLE) AS v, CAST(sum(1 - v) AS DOUBLE) AS h FROM l WHERE value IS NOT NULL GROUP BY ordinal, col, value),
 t AS (SELECT ordinal, sum(v) AS tv, sum(h) AS th FROM g GROUP BY ordinal),
-s AS (SELECT g.ordinal, col, sum((v - tv * (v + h) / (tv + th)) * (v - tv * (v + h) / (tv + th)) / (tv * (v + h) / (tv + th)) + (h - th * (v + h) / (tv + th)) * (h - th * (v + h) / (tv + th)) / (th * (v + h) / (tv + th))) AS stat, count(*) - 1 AS df FROM g JOIN t ON g.ordinal = t.ordinal GROUP BY g.ordinal, col)"""
+s AS (SELECT g.ordinal, col, sum((v - tv * (v + h) / (tv + th)) * (v - tv * (v + h) / (tv + th)) / (tv * (v + h) / (tv + th)) + (h - th * (v + h) / (tv + th)) * (h - th * (v + h) / (tv + th)) / (th * (v + h) / (tv + th))) AS stat, count(*) - 1 AS df FROM g JOIN t ON g.ordinal = t.ordinal WHERE tv > 0 AND th > 0 GROUP BY g.ordinal, col)"""
+
+
+#: Columns of the studied tables outside the dependency and the key, in the tables' order.
+REST = {"documents": ("text", "n_chars"), "conversations": ("conv_id", "text"), "orders": ("o_orderstatus", "o_totalprice", "o_orderdate"), "events": ("ts", "value", "props")}
+_CHI = f"WITH {_flags_sql('orders', 'o_custkey', 'o_orderpriority')}, {_rest_sql(REST['orders'])}"
 
 
 @query(f'{_CHI} SELECT CAST(ordinal AS INTEGER) AS ordinal, col AS "column", round(stat, 4) AS stat, CAST(df AS BIGINT) AS df FROM s')
 def chi2_stat(spark, sf_dir):
     flagged = violations.flag_violations(table(spark, sf_dir, "orders"), STUDIED[2][2])
-    return reliability.chi_square(flagged, _CHI_COLUMNS).select("ordinal", "column", F.round("stat", 4).alias("stat"), "df")
+    return reliability.chi_square(flagged, REST["orders"]).select("ordinal", "column", F.round("stat", 4).alias("stat"), "df")
 
 
 @query("""WITH q AS (SELECT unnest(generate_series(1, 40)) AS df), x AS (SELECT unnest(generate_series(1, 60)) AS i), p AS (SELECT CAST(df AS DOUBLE) AS d, df, i, i * 0.75 AS stat FROM q CROSS JOIN x),
@@ -297,30 +308,55 @@ def ar_stability_clean(spark, sf_dir):
 _TAIL = "greatest(0.0, 1 - sum(exp(df / 2.0 * ln(stat / 2) - stat / 2 + j * ln(stat / 2) - lgamma(df / 2.0 + j + 1))))"
 
 
-@query(f"""{_CHI}, terms AS (SELECT ordinal, stat, df, unnest(generate_series(0, CAST(ceil(greatest(stat / 2 - df / 2.0, 0.0) + 14 * sqrt(stat / 2 + df / 2.0) + 60) AS BIGINT))) AS j FROM s WHERE stat > 0),
+#: p-values of the statistics s, and which column rejects.
+_TESTS = f"""terms AS (SELECT ordinal, stat, df, unnest(generate_series(0, CAST(ceil(greatest(stat / 2 - df / 2.0, 0.0) + 14 * sqrt(stat / 2 + df / 2.0) + 60) AS BIGINT))) AS j FROM s WHERE stat > 0 AND df > 0),
 p AS (SELECT ordinal, {_TAIL} AS p FROM terms GROUP BY ordinal, stat, df),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(v) AS BIGINT) AS v FROM f),
-lv AS (SELECT CAST(sum(c) AS DOUBLE) AS t FROM m), vf AS (SELECT y, CAST(sum(c) AS DOUBLE) AS g FROM m GROUP BY y),
-st AS (SELECT 1 - sum(CASE WHEN c > 1 THEN (1 - g / t) * c ELSE 0 END) / max(t) AS score FROM m JOIN vf ON m.y = vf.y CROSS JOIN lv),
-w AS (SELECT min(CASE WHEN p < 1e-4 THEN ordinal END) AS hit FROM p),
-e AS (SELECT n.v, n.v / n.n AS rate, n.v / n.n > 0.5 AS by_rate, w.hit IS NOT NULL AS by_test, st.score FROM n CROSS JOIN w CROSS JOIN st)
-SELECT 'o_custkey -> o_orderpriority' AS fd_id, round(CASE WHEN by_rate OR by_test THEN 1.0 ELSE score END, 6) AS ar_score, v AS ar_violation_count, round(rate, 6) AS ar_violation_rate, NOT (by_rate OR by_test) AND score <= 0.5 AS ar_is_reliable, v > 0 AS indep_used, by_rate OR by_test AS indep_rejected FROM e""")
+w AS (SELECT min(CASE WHEN p < 1e-4 THEN ordinal END) AS hit FROM p)"""
+_MAJORITY_SCORE = """lv AS (SELECT CAST(sum(c) AS DOUBLE) AS t FROM m), vf AS (SELECT y, CAST(sum(c) AS DOUBLE) AS g FROM m GROUP BY y),
+st AS (SELECT 1 - sum(CASE WHEN c > 1 THEN (1 - g / t) * c ELSE 0 END) / max(t) AS score FROM m JOIN vf ON m.y = vf.y CROSS JOIN lv)"""
+_VERDICT = """ar_score, v AS ar_violation_count, round(rate, 6) AS ar_violation_rate, NOT (by_rate OR by_test) AND score <= 0.5 AS ar_is_reliable, v > 0 AS indep_used, by_rate OR by_test AS indep_rejected,
+round(CASE WHEN by_rate THEN -1.0 WHEN v > 0 THEN coalesce(first_p, last_p, 1.0) END, 6) + 0.0 AS indep_pvalue"""
+
+
+def _verdict_sql(name: str, fd: FDSpec) -> str:
+    last = len(REST[name]) - 1
+    return f"""SELECT * FROM (WITH {_flags_sql(name, fd.lhs[0], fd.rhs)}, {_rest_sql(REST[name])}, {_TESTS}, {_MAJORITY_SCORE},
+e AS (SELECT n.v, n.v / n.n AS rate, n.v / n.n > 0.5 AS by_rate, w.hit IS NOT NULL AS by_test, st.score, (SELECT max(p) FROM p WHERE ordinal = w.hit) AS first_p, (SELECT max(p) FROM p WHERE ordinal = {last}) AS last_p FROM n CROSS JOIN w CROSS JOIN st)
+SELECT '{fd.fd_id}' AS fd_id, round(CASE WHEN by_rate OR by_test THEN 1.0 ELSE score END, 6) AS {_VERDICT}, round(score, 6) AS ar_score_fused FROM e)"""
+
+
+@query(_verdict_sql("orders", STUDIED[2][2]))
 def ar_verdict(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", *_CHI_COLUMNS)
-    out = reliability.reliability(orders, STUDIED[2][2])
-    return out.select("fd_id", F.round("ar_score", 6).alias("ar_score"), "ar_violation_count", F.round("ar_violation_rate", 6).alias("ar_violation_rate"), "ar_is_reliable", "indep_used", "indep_rejected")
+    return _rounded(reliability.reliability(table(spark, sf_dir, "orders"), STUDIED[2][2], id_col="o_orderkey"))
 
 
 @query(f"SELECT CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS dom_x, {_r(MEASURE_SQL['mu'])} AS mu, {_r(MEASURE_SQL['g3_prime'])} AS g3_prime, {_r(MEASURE_SQL['h_y'])} AS h_y, v.ar_score, v.ar_violation_count, v.indep_rejected FROM (SELECT * FROM ({CTE} SELECT * FROM t) q WHERE fd_id = 'orders: o_custkey -> o_orderpriority') m CROSS JOIN ({ORACLES['ar_verdict']}) v")
 def fd_full_record(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", *_CHI_COLUMNS)
-    return _rounded(plans.full_record(orders, STUDIED[2][2]).select("n", "dom_x", "mu", "g3_prime", "h_y", "ar_score", "ar_violation_count", "indep_rejected"))
+    return _rounded(plans.full_record(table(spark, sf_dir, "orders"), STUDIED[2][2], id_col="o_orderkey").select("n", "dom_x", "mu", "g3_prime", "h_y", "ar_score", "ar_violation_count", "indep_rejected"))
 
 
-@query()
+@query(" UNION ALL ".join(_verdict_sql(t, fd) for t, _, fd in STUDIED))
 def ar_verdicts_all(spark, sf_dir):
-    """Full records, with p-values, of all studied dependencies."""
-    return _union([reliability.reliability(table(spark, sf_dir, t), fd, id_col=key) for t, key, fd in STUDIED])
+    """Verdicts, with p-values, of all studied dependencies."""
+    return _union([_rounded(reliability.reliability(table(spark, sf_dir, t), fd, id_col=key)) for t, key, fd in STUDIED])
+
+
+_CLEAN_FLAGS = "f AS (SELECT *, CASE WHEN value > 90 THEN 1 ELSE 0 END AS v FROM events)"
+
+
+@query(f"""WITH {_CLEAN_FLAGS}, {_rest_sql(REST['events'])}, {_TESTS}, st AS ({ORACLES['ar_stability_clean'].replace('round(1 - sum(CASE WHEN c > 1 THEN (1 - f / n) * c ELSE 0 END) / max(n), 6)', '1 - sum(CASE WHEN c > 1 THEN (1 - f / n) * c ELSE 0 END) / max(n)')}),
+mj AS ({_stability_sql('events', STUDIED[3][2])}),
+e AS (SELECT n.v, n.v / n.n AS rate, n.v / n.n > 0.5 AS by_rate, w.hit IS NOT NULL AS by_test, st.score, mj.score AS fused, (SELECT max(p) FROM p WHERE ordinal = w.hit) AS first_p, (SELECT max(p) FROM p WHERE ordinal = 2) AS last_p FROM n CROSS JOIN w CROSS JOIN st CROSS JOIN mj)
+SELECT 'tested' AS mode, round(CASE WHEN by_rate OR by_test THEN 1.0 ELSE score END, 6) AS {_VERDICT}, fused AS ar_score_fused FROM e
+UNION ALL SELECT 'untested', round(score, 6), v, round(rate, 6), score <= 0.5, FALSE, FALSE, NULL, fused FROM e""")
+def ar_verdict_clean(spark, sf_dir):
+    """Given violations, with the independence test and without."""
+    events = table(spark, sf_dir, "events")
+    given = events.filter("value > 90").select(F.col("event_id").alias("row_id"))
+    configs = {"tested": reliability.ReliabilityConfig.clean(use_independence_test=True), "untested": reliability.ReliabilityConfig.clean()}
+    each = [reliability.reliability(events, STUDIED[3][2], c, given=given, id_col="event_id").withColumn("mode", F.lit(m)).drop("fd_id") for m, c in configs.items()]
+    return _rounded(_union(each))
 
 
 # --- samples, profiles, index -------------------------------------------------------------------
@@ -332,9 +368,7 @@ def sample_fixed(spark, sf_dir):
     return sampling.fixed_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 1000, "o_orderkey", 42)
 
 
-_EVENT_COLUMNS = ("user_id", "event_type", "props")
-
-
+_TEXTS = {"ts": "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')", "value": "CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)"}
 _ALL_EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
@@ -343,10 +377,10 @@ def distinct_profile(spark, sf_dir):
     return profile.distinct_profile(table(spark, sf_dir, "events"), _ALL_EVENT_COLUMNS)
 
 
-@query(" UNION ALL ".join(f"""SELECT * FROM (WITH v AS (SELECT CAST({c} AS VARCHAR) AS v, CAST(count(*) AS BIGINT) AS c FROM events GROUP BY 1), o AS (SELECT v, c, row_number() OVER (ORDER BY c DESC, v) AS i FROM v WHERE v IS NOT NULL)
-SELECT '{c}' AS "column", CAST(sum(v.c) AS BIGINT) AS rows, CAST(coalesce(sum(CASE WHEN v.v IS NULL THEN v.c END), 0) AS BIGINT) AS nulls, CAST(count(v.v) AS BIGINT) AS distinct_values, min(v.v) AS least, max(v.v) AS greatest, max(CASE WHEN i = 1 THEN o.v END) AS most_frequent, max(CASE WHEN i = 1 THEN o.c END) AS frequency FROM v LEFT JOIN o ON v.v = o.v)""" for c in _EVENT_COLUMNS))
+@query(" UNION ALL ".join(f"""SELECT * FROM (WITH v AS (SELECT {_TEXTS.get(c, f'CAST({c} AS VARCHAR)')} AS v, CAST(count(*) AS BIGINT) AS c FROM events GROUP BY 1), o AS (SELECT v, c, row_number() OVER (ORDER BY c DESC, v) AS i FROM v WHERE v IS NOT NULL)
+SELECT '{c}' AS "column", CAST(sum(v.c) AS BIGINT) AS rows, CAST(coalesce(sum(CASE WHEN v.v IS NULL THEN v.c END), 0) AS BIGINT) AS nulls, CAST(count(v.v) AS BIGINT) AS distinct_values, min(v.v) AS least, max(v.v) AS greatest, max(CASE WHEN i = 1 THEN o.v END) AS most_frequent, max(CASE WHEN i = 1 THEN o.c END) AS frequency FROM v LEFT JOIN o ON v.v = o.v)""" for c in _ALL_EVENT_COLUMNS))
 def column_summary(spark, sf_dir):
-    return profile.column_summary(table(spark, sf_dir, "events"), _EVENT_COLUMNS)
+    return profile.column_summary(_texts(table(spark, sf_dir, "events")))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS pairs, TRUE AS close FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
@@ -417,11 +451,11 @@ def bitmap_lookup(spark, sf_dir):
 _TYPE_SIZE = "SELECT p_partkey, 'p_brand' AS left_col, CASE WHEN p_size % 2 = 0 THEN 'p_type' ELSE 'p_size' END AS right_col, CASE WHEN p_size % 3 = 0 THEN 'N' ELSE 'P' END AS sample_type, p_size AS v FROM part"
 
 
-@query(f"SELECT p_partkey FROM ({_TYPE_SIZE}) WHERE NOT (sample_type = 'N' AND v / 40.0 > 0.05)")
+@query(f"SELECT p_partkey FROM ({_TYPE_SIZE}) WHERE NOT (sample_type = 'N' AND v / CAST((SELECT count(*) FROM part) AS DOUBLE) > 0.05)")
 def candidate_filter(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     listed = part.selectExpr("p_partkey", "'p_brand' AS left_col", "CASE WHEN p_size % 2 = 0 THEN 'p_type' ELSE 'p_size' END AS right_col", "CASE WHEN p_size % 3 = 0 THEN 'N' ELSE 'P' END AS sample_type", "sequence(1, p_size) AS violation_rows")
-    return candidates.filter_candidates(listed, 40, candidates.numeric_columns(part)).select("p_partkey")
+    return candidates.filter_candidates(listed, part.count(), candidates.numeric_columns(part)).select("p_partkey")
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS run_id, 'Total' AS name, CAST(CAST(arg_max(o_totalprice, o_orderkey) * 100 AS BIGINT) AS VARCHAR) AS value, 'int' AS kind FROM orders GROUP BY o_custkey")
@@ -447,6 +481,35 @@ def generate_syn(spark, sf_dir):
     return generator.generate_syn(spark, s, seed=11)
 
 
+_NOISES = [(d, t) for d in ("zipf", "beta") for t in ("copy", "bogus", "typo")]
+
+
+@query(f"""SELECT dist, n_type, CAST(20000 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS broken_when_clean, CAST(1000 AS BIGINT) AS sites, CAST(CASE WHEN n_type <> 'copy' THEN 1000 END AS BIGINT) AS changed, CAST(CASE WHEN n_type = 'bogus' THEN 1000 END AS BIGINT) AS fresh_values, TRUE AS half_at_most
+FROM (VALUES {', '.join(f"('{d}', '{t}')" for d, t in _NOISES)}) AS v(dist, n_type)""")
+def generated_noise(spark, sf_dir):
+    """What noise does to a generated table: 5 % of 20,000 rows, at most half of any group, new values each once.
+
+    A copied value may be the one that was there, so the changed rows of that kind are not stated.
+    """
+    out = []
+    for dist, n_type in _NOISES:
+        s = generator.GeneratorSettings(20_000, 0.3, 2, 0.1, dist_type=dist, lhs_dist_alpha=1.2, lhs_dist_beta=3.0, noise=0.05, n_type=n_type)
+        clean = generator.generate_clean(spark, s, 3)
+        broken = clean.groupBy(*s.lhs_columns).agg(F.count_distinct("rhs").alias("n")).agg(F.sum((F.col("n") > 1).cast("long")).alias("broken_when_clean"))
+        sites = generator.noise_sites(clean, s, 3, bucket_rows=3000).select("row_id", F.lit(1).alias("site"))
+        noisy = generator.add_noise(clean, s, 3).select("row_id", F.col("rhs").cast("string").alias("new"))
+        both = clean.join(noisy, "row_id").join(sites, "row_id", "left")
+        moved = F.when(F.col("new") != F.col("rhs").cast("string"), F.col("new"))
+        groups = both.groupBy(*s.lhs_columns).agg(F.count(F.lit(1)).alias("rows"), F.count("site").alias("sites"), F.count(moved).alias("changed"))
+        sums = groups.agg(F.sum("rows").alias("rows"), F.sum("sites").alias("sites"), F.sum("changed").alias("changed"), F.min(F.col("sites") * 2 <= F.col("rows")).alias("half_at_most"))
+        fresh = both.agg(F.count_distinct(moved).alias("fresh_values"))
+        said = sums.join(F.broadcast(broken)).join(F.broadcast(fresh))
+        known = {"changed": n_type != "copy", "fresh_values": n_type == "bogus"}
+        numbers = [F.when(F.lit(known.get(c, True)), F.col(c)).alias(c) for c in ("rows", "broken_when_clean", "sites", "changed", "fresh_values")]
+        out.append(said.select(F.lit(dist).alias("dist"), F.lit(n_type).alias("n_type"), *numbers, "half_at_most"))
+    return _union(out)
+
+
 @query("SELECT * FROM (VALUES ('10000/3000/3000', 0.0000353570978), ('60000/12000/12000', 0.0000076951432)) AS t(fd_id, expected_mi)".replace("SELECT *", "SELECT fd_id, CAST(expected_mi AS DOUBLE) * 1e6 AS micro_bits"))
 def expected_mi_large_groups(spark, sf_dir):
     """Pairs whose direct recurrence underflows."""
