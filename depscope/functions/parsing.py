@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DURATION = r"^\s*(\d+(?:\.\d+)?)\s*([mM][sS]|[sSmMhH])\s*$"
-_MEMORY = r"^\s*(\d+(?:\.\d+)?)\s*([kKmMgG][bB])\s*$"
+#: Units of durations in seconds and of memory in bytes (fixed values).
+SECONDS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
+BYTES = {"kb": 1024.0, "mb": 1024.0**2, "gb": 1024.0**3}
+
+
+def _amount(text: Column, units: dict[str, float]) -> Column:
+    """The positive number before one of the units, times that unit; null for anything else."""
+    pattern = rf"(?i)^\s*(\d+(?:\.\d+)?)\s*({'|'.join(units)})\s*$"
+    number = F.regexp_extract(text, pattern, 1).try_cast("double")
+    factor = F.element_at(F.create_map(*[F.lit(x) for u in units.items() for x in u]), F.lower(F.regexp_extract(text, pattern, 2)))
+    return F.when(number > 0, number * factor)
 
 
 def duration_seconds(text: Column) -> Column:
     """Seconds of ``50ms``, ``10s``, ``5m``, ``12h``; null for anything else and for zero."""
-    number = F.regexp_extract(text, _DURATION, 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(text, _DURATION, 2))
-    factor = F.when(unit == "ms", 0.001).when(unit == "s", 1.0).when(unit == "m", 60.0).when(unit == "h", 3600.0)
-    return F.when(number > 0, number * factor)
+    return _amount(text, SECONDS)
 
 
 def memory_bytes(text: Column) -> Column:
     """Bytes of ``512MB`` and the like (steps of 1024); null for anything else and for zero."""
-    number = F.regexp_extract(text, _MEMORY, 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(text, _MEMORY, 2))
-    factor = F.when(unit == "kb", 1024.0).when(unit == "mb", 1024.0**2).when(unit == "gb", 1024.0**3)
-    return F.when(number > 0, (number * factor).cast("long"))
+    return _amount(text, BYTES).cast("long")
 
 
 def value_kind(text: Column) -> Column:

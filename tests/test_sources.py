@@ -1,5 +1,7 @@
 """Readers, writers, parsing, experiments, runner, streams."""
 
+import csv
+import dataclasses
 import json
 
 import pytest
@@ -110,6 +112,15 @@ def test_experiments(tmp_path):
     experiments.write_experiments(path, listed, repetitions=2)
     again, settings = experiments.load_experiments(path)
     assert again == listed and settings == {"repetitions": 2}
+    own = experiments.Experiment("own", "t", fd, ("g1",), {}, "clean", "0,2", 4, "90s", "512MB", {"spark.sql.shuffle.partitions": "3"}, {"k": 1})
+    experiments.write_experiments(path, [own, listed[0]], memory_limit="1GB", environment={"a.b": 2})
+    (first, second), settings = experiments.load_experiments(path)
+    assert first.environment == {"a.b": "2", "spark.sql.shuffle.partitions": "3"} and second.environment == {"a.b": "2"}
+    runs = experiments.expand_runs([first, second], 1, "1h", settings["memory_limit"])
+    assert [(r.timeout, r.memory_limit) for r in runs] == [(90, 512 << 20)] * 4 + [(3600, 1 << 30)]
+    for wrong in ({"repetitions": 0}, {"timeout": "-3s"}, {"memory_limit": "5 bananas"}, {"memory_limit": "12"}, {"mode": "x"}):
+        with pytest.raises(experiments.ConfigError):
+            experiments.expand_runs([dataclasses.replace(own, **wrong)])
 
 
 def test_runner(spark, tmp_path):
@@ -124,9 +135,25 @@ def test_runner(spark, tmp_path):
     assert got["one"]["status"] == "SUCCESS" and float(got["one"]["metrics"]["g1"]) == pytest.approx(1 - 2 / 9)
     assert got["two"]["status"] == "FAILED" and "no column" in got["two"]["error"]
     assert runner.run_all(spark, experiments.expand_runs(listed), str(tmp_path / "out"), lambda p: df) == []
-    slow = experiments.Run("slow", experiments.Experiment("slow", "t", FDSpec(("x",), "y"), ("g1",)), 1, 0.2)
+    with open(tmp_path / "out" / "results.csv", newline="") as f:
+        table = {r["experiment"]: r for r in csv.DictReader(f)}
+    assert table["one"]["status"] == "SUCCESS" and float(table["one"]["g1"]) == pytest.approx(1 - 2 / 9) and table["two"]["exit_code"] == "1" and float(table["one"]["peak_memory_mb"]) > 0
+    given = experiments.Experiment("given", "t", FDSpec(("x",), "y"), ("reliability",), mode="clean", violations="1", environment={"spark.sql.shuffle.partitions": "3"})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    (run,) = experiments.expand_runs([given])
+    got = runner.execute(spark, run, lambda p: df.coalesce(1))
+    assert got["status"] == "SUCCESS" and got["metrics"]["ar_violation_count"] == "1" and spark.conf.get("spark.sql.shuffle.partitions") == before
     sleepy = lambda _: df.withColumn("y", F.expr("reflect('java.lang.Thread', 'sleep', 8000L)"))
-    assert runner.execute(spark, slow, sleepy)["status"] in ("TIMEOUT", "FAILED")
+    plain = experiments.Experiment("slow", "t", FDSpec(("x",), "y"), ("g1",))
+    assert runner.execute(spark, experiments.Run("slow", plain, 1, 0.2), sleepy)["status"] == "TIMEOUT"
+    assert runner.execute(spark, experiments.Run("large", plain, 1, 60, 1), lambda _: df)["status"] == "MEMORY_LIMIT"
+
+    def interrupted(_):
+        raise KeyboardInterrupt
+
+    runs = experiments.expand_runs([plain, dataclasses.replace(plain, name="next")])
+    assert [r["status"] for r in runner.run_all(spark, runs, str(tmp_path / "out"), interrupted)] == ["INTERRUPTED"]
+    assert [r["status"] for r in runner.run_all(spark, runs, str(tmp_path / "out"), lambda _: df)] == ["SUCCESS"] * 2
 
 
 def test_stream_scores(spark, tmp_path):
