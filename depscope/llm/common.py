@@ -113,6 +113,14 @@ def sampled_labels(labels: DataFrame, label_col: str, id_col: str, most: dict[in
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rows_of(docs: DataFrame, id_col: str, text_col: str, found: DataFrame, stays: Column) -> DataFrame:
     """The rows of ``docs`` whose id stays, each id once.
 
@@ -120,12 +128,13 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, found: DataFrame, stays
     stays are reduced to one, the first by text, only where ids repeat at all.
     """
     kept = found.withColumn("__stays", stays).groupBy("id").agg(F.max("__stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    kept = written(kept.filter("not stays or rows > 1").select(F.col("id").alias("__id"), "stays"))
-    match = F.col(id_col).eqNullSafe(F.col("__id"))
+    key = free_name(docs, "__id")
+    kept = written(kept.filter("not stays or rows > 1").select(F.col("id").alias(key), F.col("stays").alias(free_name(docs, "__stays"))))
+    match = F.col(id_col).eqNullSafe(F.col(key))
     out = docs.join(kept, match, "left_anti").select(*docs.columns)
-    repeated = kept.filter("stays")
+    repeated = kept.filter(F.col(kept.columns[1]))
     if repeated.limit(1).count():
         first = F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNull(), F.col(text_col), F.xxhash64(*docs.columns)))
-        some = docs.join(repeated, match, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(first.alias("__row"))
+        some = docs.join(repeated, match, "left_semi").groupBy(F.col(id_col).alias(key)).agg(first.alias("__row"))
         out = out.unionByName(some.select("__row.*"))
     return out

@@ -66,6 +66,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     total, mixed = thin.agg(F.sum("group_size"), F.sum(F.when(F.col("texts") > 1, 1).otherwise(0))).first()
     own = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    # Columns for own use begin with two underscores; input columns that do are called otherwise meanwhile.
+    hidden = {c: f"in{c}" for c in own.columns if c.startswith("__")}
+    names, own = own.columns, own.withColumnsRenamed(hidden)
+    id_col, text_col = hidden.get(id_col, id_col), hidden.get(text_col, text_col)
     body = normalised(F.col(text_col))
     keyed = own.withColumn("__body", body).withColumn("__digest", digest(F.col("__body")))
     sha = F.lower(F.hex("__digest")) if digest is sha256_digest else F.sha2(F.col("__body").cast("binary"), 256)
@@ -78,7 +82,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         whole = groups.select(F.col("digest").alias("__digest"), F.col("body").alias("__body"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
         out = plain.unionByName(keyed.join(several, "__digest", "left_semi").join(whole, ["__digest", "__body"]).drop("__body", "__digest"))
     return out.select(
-        *[F.col(c) for c in own.columns],
+        *[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in names],
         F.col("__keep").alias("keep_id"),
         F.col("__size").alias("group_size"),
         F.col(id_col).eqNullSafe(F.col("__keep")).alias("kept"),

@@ -201,7 +201,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     n = max(1, sum(counts.values()))
     chosen = sampled_labels(labels, label_col, id_col, {k: -(-sample * counts.get(k, 0) // n) for k in (0, 1)})
     shared = spark.sparkContext.broadcast(vectors)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__label").cast("int"), F.col(text_col).cast("string"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = own.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select(F.col("__label").cast("int"), "text")
     got = rows.mapInArrow(lambda b: _label_features(b, shared), "label int, x binary").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["x"])))  # whatever order the tasks ended in
     x = np.array([np.frombuffer(r["x"], "<f4") for r in got], np.float64).reshape(len(got), FEATURES)

@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """
     ship(docs.sparkSession)
     chosen = sampled_labels(labels, label_col, id_col, {1: toxic_sample, 0: other_sample})
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__label").cast("int"), F.col(text_col).cast("string"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = own.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select(F.col("__label").cast("int"), "text")
     got = rows.mapInArrow(_features, "label int, features binary, sentence binary").collect()
     got.sort(key=lambda r: (r["label"], bytes(r["features"])))  # whatever order the tasks ended in
     x = [(np.frombuffer(r["features"], np.int32).reshape(-1, VIEWS), np.frombuffer(r["sentence"], "<i4")) for r in got]

@@ -1,7 +1,9 @@
 """The registered corpus queries and the pipeline on the smallest tables."""
 
 import random
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -108,6 +110,46 @@ def test_near_copies_against_brute_force(spark, chunk_rows):
     assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(left) for b in left[:i] if a | b)
 
 
+@pytest.fixture(scope="module")
+def large_dir(sf_dir):
+    """Tables with enough held-out labels for a figure."""
+    path = Path(sf_dir).parent / "sf0.1"
+    return str(path) if path.exists() else sf_dir
+
+
+@pytest.mark.parametrize(("name", "label", "least_balanced", "least_recall", "least_precision"), [("op5_random_indexing_quality", "quality", 0.95, 0.97, 0.97), ("op9_noisy_or_toxicity", "toxic", 0.92, 0.85, 0.95)])
+def test_held_out_labels(spark, large_dir, name, label, least_balanced, least_recall, least_precision):
+    """The registered query on whole documents, judged by the labels that it did not learn from. A constant has balanced accuracy 0.5."""
+    got = {r["doc_id"]: r for r in queries()[name](spark, large_dir).collect()}
+    known = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{large_dir}/labels.parquet").collect()}
+    held = [i for i in known if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i in got if got[i]["held_out"]} >= set(held) and not any(got[i]["held_out"] for i in set(known) - set(held))
+    counted = Counter((known[i], got[i]["predicted"]) for i in held)
+    recall, spared = counted[1, 1] / (counted[1, 1] + counted[1, 0]), counted[0, 0] / (counted[0, 0] + counted[0, 1])
+    precision = counted[1, 1] / (counted[1, 1] + counted[0, 1])
+    assert (recall + spared) / 2 >= least_balanced and recall >= least_recall and precision >= least_precision, counted
+
+
+def test_stages_on_odd_documents(spark, sf_dir):
+    """Nulls everywhere, empty and very long texts, repeated rows, columns named as the operators' own: rows that stay are as they came."""
+    clashes = ["id", "size", "copies", "kept", "keep_id", "score", "row", "fp", "label", "rate", "target", "body", "digest", "n", "source_size", "text_sha256", "component_id", "__id", "__k"]
+    long = "lorem ipsum dolor " * 20_000
+    rows = [(1, "a b  c", "en", "s1"), (2, "a b\tc", "en", "s1"), (3, None, None, None), (4, "", "de", "s2"), (None, "q r s", "fr", "s1"), (None, None, None, "s2"), (6, long, "en", None), (7, long.replace(" ", "\n"), "en", "s3"), (8, "x y z", "en", "s3"), (8, "x y z", "en", "s3"), (9, "one", "en", "s1")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *[100 * i + j for j in range(len(clashes))]) for i, r in enumerate(rows)], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"`{c}` long" for c in clashes]]))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, sf_dir))
+        assert out.columns == docs.columns, name
+        before, after = Counter(map(tuple, docs.collect())), Counter(map(tuple, out.collect()))
+        assert all(n <= (2 if name == "mixing" else 1) * before[r] for r, n in after.items()), name
+        kept[name] = Counter(r[0] for r in after.elements())
+        docs = out
+    assert kept["toxicity"] == Counter(r[0] for r in rows)
+    assert kept["exact_dedup"] == Counter([1, 3, None, 6, 8, 9]) == kept["simhash_dedup"]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in last) == kept["mixing"] and all(r["decoded_sha256"] for r in last)
+
+
 def test_stages_on_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
