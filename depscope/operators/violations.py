@@ -26,8 +26,9 @@ def majorities(df: DataFrame, fd: FDSpec) -> DataFrame:
 def violation_totals(df: DataFrame, fd: FDSpec) -> DataFrame:
     """One row (n, violations): rows and those that ``flag_violations`` would mark, from the groups alone."""
     fd.check(df)
-    x = _groups(df, fd)
-    own = F.when(~counts.x_is_null(x) & F.col("majority").isNotNull(), F.col("a") - F.col("majority.c"))
+    # Counts alone: m is the majority's count, and without texts in the state groups are hashed, not sorted.
+    x = counts.x_counts(counts.xy_counts(counts.project(df, [fd])), "drop")
+    own = F.when(~counts.x_is_null(x) & (F.col("m") > 0), F.col("a") - F.col("m"))
     return x.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n"), F.coalesce(F.sum(own), F.lit(0)).alias("violations"))
 
 
@@ -46,7 +47,7 @@ def flag_violations(df: DataFrame, fd: FDSpec, *, hot_groups: int = 1000) -> Dat
         x_null = x_null | F.col(f"`{c}`").isNull()
     groups = _groups(df, fd)
     groups = groups.filter(~counts.x_is_null(groups) & F.col("majority").isNotNull())
-    groups = groups.join(F.broadcast(groups.agg(F.sum("a").alias("total"))))
+    groups = groups.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))
     groups = groups.select(F.col("x").alias("__x"), F.col("majority.y").alias("__majority"), (F.col("a") * hot_groups >= F.col("total")).alias("__is_hot"))
     keep = [f"`{c}`" for c in df.columns if c != "is_violation"]
     rows = df.select(*keep, F.when(~x_null, x).alias("__own"), F.col(f"`{fd.rhs}`").cast("string").alias("__y"))
