@@ -70,9 +70,12 @@ def rfi() -> Column:
 
 
 def rfi_prime_plus() -> Column:
-    """Fraction of information above its expectation, scaled by its range above it; 0 if there is none."""
-    room = h_y() - c("expected_mi")
-    return F.when(room > TINY, F.greatest(F.lit(0.0), (h_y() - h_y_given_x() - c("expected_mi")) / room)).otherwise(0.0)
+    """Fraction of information above its expectation, scaled by its range above it; 0 if there is none.
+
+    The range is E[H(Y|X)], and H(Y) times the share of rows whose X does not count.
+    """
+    room = c("expected_h_y_given_x") + F.coalesce(_ratio(c("n") - c("rows_x"), c("n")), F.lit(0.0)) * h_y()
+    return F.when(room > TINY, F.greatest(F.lit(0.0), (room - h_y_given_x()) / room)).otherwise(0.0)
 
 
 def g1() -> Column:

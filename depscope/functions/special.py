@@ -25,6 +25,28 @@ def lgamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + F.lit(_HALF_LOG_2PI) + series - F.log(product)
 
 
+#: ln m! - (m ln m - m) for m below 16, where the series is not exact.
+_REST = [0.0, *[math.log(math.factorial(m)) - m * math.log(m) + m for m in range(1, 16)]]
+
+
+def factorial_rest(m: Column) -> Column:
+    """ln m! - (m ln m - m) for whole m >= 0: what Stirling's main term leaves, no larger than a few logarithms."""
+    m = m.cast("double")
+    big = F.greatest(m, F.lit(16.0))
+    m2 = big * big
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / m2) / m2) / m2) / big
+    return F.when(m < 16, F.get(F.array(*map(F.lit, _REST)), m.cast("int"))).otherwise(0.5 * F.log(big) + F.lit(_HALF_LOG_2PI) + series)
+
+
+def deviance(count: Column, expected: Column, difference: Column) -> Column:
+    """count ln(count / expected) - difference, where difference = count - expected, without cancellation; 0 if nothing is expected."""
+    some = F.when(expected > 0, expected).otherwise(1.0)
+    r = difference / some
+    near = some * ((1 + r) * F.log1p(r) - r)
+    far = count * F.log(F.greatest(count, F.lit(1.0)) / some) - difference
+    return F.when(expected <= 0, 0.0).when(F.abs(r) < 0.5, near).otherwise(far)
+
+
 def chi2_sf(stat: Column, df: Column) -> Column:
     """P(chi-square with df degrees of freedom >= stat).
 

@@ -140,6 +140,7 @@ def totals(x: DataFrame, y: DataFrame, nulls: str = "group") -> DataFrame:
     of_x = x.groupBy("fd_id").agg(
         F.sum("a").alias("n"),
         F.count(F.lit(1)).alias("dom_x"),
+        sum_of(F.col("a"), 0).alias("rows_x"),
         sum_of(F.col("k"), 0).alias("dom_xy"),
         sum_of(F.col("c2") / a, 0.0).alias("sum_c2_a"),
         sum_of(F.col("c_log_c") - a_y * F.log2(a), 0.0).alias("sum_c_log_ca"),

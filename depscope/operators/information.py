@@ -2,10 +2,14 @@
 
 E[MI] is a sum over pairs of a count a of X and a count b of Y. Only the histograms of counts matter:
 pairs of different counts, weighted by how many values have them. For a pair, k rows in common
-are hypergeometric, and each term is taken in log space, so nothing underflows however
-large the groups are. Terms farther than 40 standard deviations from the mean are below any
+are hypergeometric, and each probability is taken in log space, so nothing underflows however
+large the groups are: as remainders of Stirling's formula and deviances from the mean, which are
+small where log factorials are as large as n log n and leave their rounding. Terms farther than 40 standard deviations from the mean are below any
 rounding and left out; where even those within are more than ``most_terms``, the moments of k
 give the sum by a Taylor series, whose relative error is of the order of the mean's inverse.
+
+The same terms give E[H(Y|X)], which is what H(Y) has above E[MI]: exactly 0 where every X is
+unique, and without the rounding of a difference where nearly every X is.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.functions.special import lgamma
+from depscope.functions.special import deviance, factorial_rest
 
 #: Terms of a pair are summed in pieces of so many, as rows of their own.
 PIECE = 4096
@@ -24,7 +28,7 @@ SHARES = 64
 
 
 def expected_mi(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -> DataFrame:
-    """(fd_id, expected_mi) in bits from ``count_histograms`` and (fd_id, n)."""
+    """(fd_id, expected_mi, expected_h_y_given_x) in bits from ``count_histograms`` and (fd_id, n)."""
     hx = hist.filter("side = 'x'").select("fd_id", F.col("count").alias("a"), F.col("weight").alias("wa"))
     hy = hist.filter("side = 'y'").select("fd_id", F.col("count").alias("b"), F.col("weight").alias("wb"))
     # Histograms are few bytes and their pairs many rows: counts of X are dealt to a number of tasks that is not reduced
@@ -44,17 +48,21 @@ def expected_mi(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -
     pieces = pairs.filter(few).withColumn("from", F.explode(F.sequence("lo", "hi", F.lit(PIECE).cast("long"))))
     # Few bytes, much work: dealt evenly, to a number of tasks that is not reduced for lack of bytes.
     pieces = pieces.repartition(tasks, "fd_id", "a", "b", "from")
-    lg = lambda x: lgamma(x.cast("double") + 1)
-    fixed = lg(F.col("a")) + lg(F.col("b")) + lg(F.col("n") - F.col("a")) + lg(F.col("n") - F.col("b")) - lg(F.col("n"))
+    fixed = factorial_rest(F.col("a")) + factorial_rest(F.col("b")) + factorial_rest(F.col("n") - F.col("a")) + factorial_rest(F.col("n") - F.col("b")) - factorial_rest(F.col("n"))
     terms = pieces.withColumn("fixed", fixed).withColumn("k", F.explode(F.sequence("from", F.least(F.col("hi"), F.col("from") + PIECE - 1))))
     k = F.col("k").cast("double")
-    log_p = F.col("fixed") - lg(F.col("k")) - lg(F.col("a") - F.col("k")) - lg(F.col("b") - F.col("k")) - lg(F.col("n") - F.col("a") - F.col("b") + F.col("k"))
-    value = F.exp(log_p) * k / rows * F.log2(k / F.col("mean"))
-    summed = terms.select("fd_id", (F.col("w") * value).alias("part"))
+    off = k - F.col("mean")
+    # The four cells: what they hold, what is expected, how far they are off.
+    cells = [(F.col("k"), F.col("mean"), off), (F.col("a") - F.col("k"), a * (rows - b) / rows, -off), (F.col("b") - F.col("k"), (rows - a) * b / rows, -off), (F.col("n") - F.col("a") - F.col("b") + F.col("k"), (rows - a) * (rows - b) / rows, off)]
+    log_p = F.col("fixed")
+    for cell, expected, difference in cells:
+        log_p = log_p - factorial_rest(cell) - deviance(cell.cast("double"), expected, difference)
+    weight = F.col("w") * F.exp(log_p) * k / rows
+    summed = terms.select("fd_id", (weight * F.log2(k / F.col("mean"))).alias("part"), (weight * F.log2(a / k)).alias("left"))
     # f(k) = k/n log2(k/mean): f(mean) = 0, f'' = 1/(n k ln 2), f''' = -1/(n k^2 ln 2), f'''' = 2/(n k^3 ln 2).
     var = F.col("sd") * F.col("sd")
     third = var * (1 - 2 * a / rows) * (1 - 2 * b / rows)
     series = (var / 2 / F.col("mean") - third / 6 / F.pow("mean", F.lit(2)) + 2 * 3 * var * var / 24 / F.pow("mean", F.lit(3))) / (rows * math.log(2))
-    smooth = pairs.filter(~few).select("fd_id", (F.col("w") * series).alias("part"))
-    got = summed.unionByName(smooth).groupBy("fd_id").agg(F.sum("part").alias("expected_mi"))
-    return n.select("fd_id").join(got, "fd_id", "left").select("fd_id", F.coalesce("expected_mi", F.lit(0.0)).alias("expected_mi"))
+    smooth = pairs.filter(~few).select("fd_id", (F.col("w") * series).alias("part"), (F.col("w") * (F.col("mean") / rows * F.log2(rows / b) - series)).alias("left"))
+    got = summed.unionByName(smooth).groupBy("fd_id").agg(F.sum("part").alias("expected_mi"), F.sum("left").alias("expected_h_y_given_x"))
+    return n.select("fd_id").join(got, "fd_id", "left").select("fd_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("expected_mi", "expected_h_y_given_x")])

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from depscope.functions.special import chi2_sf, lgamma
+from depscope.functions.special import chi2_sf, factorial_rest, lgamma
 from depscope.operators import counts, information
 from depscope.plans.score import ALL_MEASURES, ranked_report, score, unary_candidates
 from depscope.spec import FDSpec
@@ -155,11 +155,45 @@ def test_large_groups_do_not_underflow(spark):
             assert r["expected_mi"] == pytest.approx(cases[r["fd_id"]][3], rel=1e-6 if most > 10 else 2e-3)
 
 
+def test_keys_have_no_information_above_expectation(spark):
+    """H(Y) = E[MI] for a key: whatever rounding leaves of the difference must not count as a range."""
+    for n in (1_500, 5_000, 20_000):
+        got = score(spark.range(n).select(F.col("id").alias("x"), (F.col("id") % 10).alias("y")), FD).first()
+        assert got["is_key"] and got["rfi_prime_plus"] == 0, n
+        assert got["expected_mi"] == pytest.approx(got["h_y"], abs=1e-12), n
+    # Null X in a key of the other rows: they count in n and H(Y), and leave a range.
+    nulls = spark.createDataFrame([(i if i % 5 else None, i % 3) for i in range(300)], "x int, y int")
+    got = score(nulls, FD, nulls="drop").first()
+    want = max(0.0, (got["h_y"] - got["h_y_given_x"] - got["expected_mi"]) / (got["h_y"] - got["expected_mi"]))
+    assert got["rfi_prime_plus"] == pytest.approx(want, abs=1e-9) and want > 0.9
+
+
+def test_expectation_of_near_keys_is_exact(spark):
+    """Log factorials of 36 million are 6e8, and their rounding was a ten-millionth of each probability."""
+    n = 36_000_000
+    xs, ys = {1: n - 2_000_000 - 600, 2: 1_000_000, 3: 200}, {17: 1_000_000, 19: 1_000_000}
+    hist = spark.createDataFrame([("d", s, c, w) for s, counted in (("x", xs), ("y", ys)) for c, w in counted.items()], "fd_id string, side string, count long, weight long")
+    got = information.expected_mi(hist, spark.createDataFrame([("d", n)], "fd_id string, n long")).first()
+    mi, left = [], []
+    for a, wa in xs.items():
+        for b, wb in ys.items():
+            for k in range(1, min(a, b) + 1):
+                share = wa * wb * math.comb(b, k) * math.comb(n - b, a - k) / math.comb(n, a) * k / n
+                mi.append(share * math.log2(k * n / (a * b)))
+                left.append(share * math.log2(a / k))
+    assert got["expected_mi"] == pytest.approx(math.fsum(mi), rel=1e-12)
+    assert got["expected_h_y_given_x"] == pytest.approx(math.fsum(left), rel=1e-11)
+
+
 def test_special_functions(spark):
     xs = [0.5, 1.0, 1.5, 2.0, 10.0, 999.5, 6e5]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", lgamma(F.col("x")).alias("v")).collect()
     for r in got:
         assert r["v"] == pytest.approx(math.lgamma(r["x"]), rel=1e-12, abs=1e-11)
+    whole = [0, 1, 2, 7, 15, 16, 40, 150]
+    for r in spark.createDataFrame([(m,) for m in whole], "m long").select("m", factorial_rest(F.col("m")).alias("v")).collect():
+        m = r["m"]
+        assert r["v"] == pytest.approx(math.log(math.factorial(m)) - (m * math.log(m) - m if m else 0), abs=2e-13)
     rows = spark.createDataFrame([(x, d) for x in (0.0, 0.3, 2.0, 9.0, 40.0, 5000.0) for d in (0, 1, 2, 7)], "x double, d int")
     for r in rows.select("x", "d", chi2_sf(F.col("x"), F.col("d")).alias("p")).collect():
         if r["d"] == 2:
