@@ -128,6 +128,11 @@ def count_histograms(x: DataFrame, y: DataFrame, nulls: str = "group") -> DataFr
     return sides.groupBy("fd_id", "side", "count").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def rows(x: DataFrame) -> DataFrame:
+    """(fd_id, n)."""
+    return x.groupBy("fd_id").agg(F.sum("a").alias("n"))
+
+
 def totals(x: DataFrame, y: DataFrame, nulls: str = "group") -> DataFrame:
     """One row per dependency with the sums that measures are made of."""
     a, a_y = F.col("a").cast("double"), F.col("a_y").cast("double")

@@ -25,10 +25,17 @@ from depscope.functions.special import deviance, factorial_rest
 PIECE = 4096
 #: Shares of one dependency's pairs.
 SHARES = 64
+#: Columns of ``expected_sums``.
+SUMS = ["expected_mi", "expected_h_y_given_x"]
 
 
 def expected_mi(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -> DataFrame:
     """(fd_id, expected_mi, expected_h_y_given_x) in bits from ``count_histograms`` and (fd_id, n)."""
+    return n.select("fd_id").join(expected_sums(hist, n, most_terms=most_terms), "fd_id", "left").fillna(0.0, SUMS)
+
+
+def expected_sums(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -> DataFrame:
+    """``expected_mi`` without the rows of dependencies that have no pair of counts."""
     hx = hist.filter("side = 'x'").select("fd_id", F.col("count").alias("a"), F.col("weight").alias("wa"))
     hy = hist.filter("side = 'y'").select("fd_id", F.col("count").alias("b"), F.col("weight").alias("wb"))
     # Histograms are few bytes and their pairs many rows: counts of X are dealt to a number of tasks that is not reduced
@@ -44,12 +51,13 @@ def expected_mi(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -
     lo = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("n"), F.floor(mean - 40 * sd - 40))
     hi = F.least(F.col("a"), F.col("b"), F.ceil(mean + 40 * sd + 40))
     pairs = pairs.select("fd_id", "n", "a", "b", (F.col("wa") * F.col("wb")).cast("double").alias("w"), lo.alias("lo"), hi.alias("hi"), mean.alias("mean"), sd.alias("sd")).filter("hi >= lo")
+    # Pairs that take the series are a single row; as a union their plan would hold the counts of all tables twice.
     few = F.col("hi") - F.col("lo") < most_terms
-    pieces = pairs.filter(few).withColumn("from", F.explode(F.sequence("lo", "hi", F.lit(PIECE).cast("long"))))
+    pieces = pairs.withColumn("from", F.explode(F.when(few, F.sequence("lo", "hi", F.lit(PIECE).cast("long"))).otherwise(F.array("lo"))))
     # Few bytes, much work: dealt evenly, to a number of tasks that is not reduced for lack of bytes.
     pieces = pieces.repartition(tasks, "fd_id", "a", "b", "from")
     fixed = factorial_rest(F.col("a")) + factorial_rest(F.col("b")) + factorial_rest(F.col("n") - F.col("a")) + factorial_rest(F.col("n") - F.col("b")) - factorial_rest(F.col("n"))
-    terms = pieces.withColumn("fixed", fixed).withColumn("k", F.explode(F.sequence("from", F.least(F.col("hi"), F.col("from") + PIECE - 1))))
+    terms = pieces.withColumn("fixed", fixed).withColumn("k", F.explode(F.when(few, F.sequence("from", F.least(F.col("hi"), F.col("from") + PIECE - 1))).otherwise(F.array("from"))))
     k = F.col("k").cast("double")
     off = k - F.col("mean")
     # The four cells: what they hold, what is expected, how far they are off.
@@ -57,12 +65,11 @@ def expected_mi(hist: DataFrame, n: DataFrame, *, most_terms: int = 4_000_000) -
     log_p = F.col("fixed")
     for cell, expected, difference in cells:
         log_p = log_p - factorial_rest(cell) - deviance(cell.cast("double"), expected, difference)
-    weight = F.col("w") * F.exp(log_p) * k / rows
-    summed = terms.select("fd_id", (weight * F.log2(k / F.col("mean"))).alias("part"), (weight * F.log2(a / k)).alias("left"))
+    terms = terms.withColumn("share", F.exp(log_p) * k / rows)
     # f(k) = k/n log2(k/mean): f(mean) = 0, f'' = 1/(n k ln 2), f''' = -1/(n k^2 ln 2), f'''' = 2/(n k^3 ln 2).
     var = F.col("sd") * F.col("sd")
     third = var * (1 - 2 * a / rows) * (1 - 2 * b / rows)
     series = (var / 2 / F.col("mean") - third / 6 / F.pow("mean", F.lit(2)) + 2 * 3 * var * var / 24 / F.pow("mean", F.lit(3))) / (rows * math.log(2))
-    smooth = pairs.filter(~few).select("fd_id", (F.col("w") * series).alias("part"), (F.col("w") * (F.col("mean") / rows * F.log2(rows / b) - series)).alias("left"))
-    got = summed.unionByName(smooth).groupBy("fd_id").agg(F.sum("part").alias("expected_mi"), F.sum("left").alias("expected_h_y_given_x"))
-    return n.select("fd_id").join(got, "fd_id", "left").select("fd_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("expected_mi", "expected_h_y_given_x")])
+    part = F.when(few, F.col("share") * F.log2(k / F.col("mean"))).otherwise(series)
+    left = F.when(few, F.col("share") * F.log2(a / k)).otherwise(F.col("mean") / rows * F.log2(rows / b) - series)
+    return terms.groupBy("fd_id").agg(F.sum(F.col("w") * part).alias("expected_mi"), F.sum(F.col("w") * left).alias("expected_h_y_given_x"))

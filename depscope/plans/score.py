@@ -34,16 +34,18 @@ def score_tables(tables: Sequence[tuple[DataFrame, Sequence[FDSpec]]], measures:
     unknown = [m for m in measures if m not in ALL_MEASURES]
     if unknown:
         raise ValueError(f"no measure {', '.join(unknown)}; there are {', '.join(ALL_MEASURES)}")
-    totals, histograms = [], []
+    totals, histograms, rows = [], [], []
     for df, fds in tables:
         xy = counts.xy_counts_of(df, fds, nulls)
         x, y = counts.x_counts(xy, nulls), counts.y_counts(xy, nulls)
         totals.append(counts.totals(x, y, nulls))
         histograms.append(counts.count_histograms(x, y, nulls))
+        rows.append(counts.rows(x))
     total = reduce(DataFrame.unionByName, totals)
     if any(m in EXPECTATION_MEASURES for m in measures):
-        expected = information.expected_mi(reduce(DataFrame.unionByName, histograms), total)
-        total = total.join(expected, "fd_id")
+        # The numbers of rows come from X alone: totals here would put the whole plan of X and Y into the plan once more.
+        expected = information.expected_sums(reduce(DataFrame.unionByName, histograms), reduce(DataFrame.unionByName, rows))
+        total = total.join(expected, "fd_id", "left").fillna(0.0, information.SUMS)
     build = COUNT_MEASURES | EXPECTATION_MEASURES
     return total.select("fd_id", "n", "dom_x", "dom_y", "dom_xy", *[build[m]().alias(m) for m in measures])
 
